@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reportlake.llm import packing
+from reportlake.llm import language, packing, quality
 from reportlake.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -20,4 +21,21 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op3_packing,)}
+def fold(doc_id: Column, folds: int) -> Column:
+    """The fold of a document: crc32 of its id as text."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, lambda k: fold(k, 4) != 2)
+    return language.predict(docs, model).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), lambda k: fold(k, 5) != 0)
+    return quality.score(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op8_language, op10_quality)}
