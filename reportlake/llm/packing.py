@@ -16,6 +16,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -28,49 +29,60 @@ SLACK = 4  # tokens a window of a block is left short of its capacity, so that d
 LONGEST = 512  # a longer document is cut into pieces of this length before differencing
 CLOSING = 2
 CACHE = 500_000
+PUNCTUATION = b".,;:!?%*&$#|)(+=-"
+#: What the byte-level vocabulary calls the bytes above ASCII in a lower-case word: printable ones by themselves, others from U+0122 on.
+BYTE_NAMES = dict(zip([b for b in range(128, 256) if b < 161 or b == 173], [*range(0x122, 0x144)]))
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class WordTokenizer:
-    """Ids of texts; each run without ASCII white space is encoded once and kept.
+class WordTokenizer(dict):
+    """Ids of texts; each run without ASCII white space is encoded once and kept, as bytes.
 
     The vocabulary's pre-tokeniser never joins what white space parts, nor a
-    letter or digit with a stop behind it, and it ignores case; so the ids of a
-    text are those of its runs, and those of a run those of its word and stop.
+    letter with punctuation behind it, and it ignores case; so the ids of a
+    text are those of its runs, and those of a run those of its letters and its
+    closing punctuation. Plain lower-case words go straight to the merges,
+    anything else through the whole tokeniser.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.known = Tokenizer.from_file(path), {}
-
-    def learn(self, runs: set[bytes]) -> None:
-        known, split, new = self.known, [], set()
-        for w in runs:
-            if w[-1] in b".," and w[:-1].isalnum() and w.isascii():
-                split.append(w)
-                new.update(x for x in (w[:-1], w[-1:]) if x not in known)
+        self[b""] = array("I", [CLOSING]).tobytes()
+        self.whole = Tokenizer.from_file(path)
+        self.merges = self.whole.model.tokenize
+
+    def __missing__(self, run: bytes) -> bytes:
+        body = run.rstrip(PUNCTUATION)
+        if body.isalpha() and body.islower():
+            ids = array("I", [t.id for t in self.merges(body.decode())]).tobytes()
+        else:
+            word = body.decode()
+            if word.isalpha() and word.lower() == word and is_normalized("NFC", word):
+                ids = array("I", [t.id for t in self.merges(body.decode("latin-1").translate(BYTE_NAMES))]).tobytes()
             else:
-                new.add(w)
-        ordered = list(new)
-        for at in range(0, len(ordered), 20_000):
-            part = ordered[at : at + 20_000]
-            for w, e in zip(part, self.model.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = array("I", e.ids).tobytes()
-        for w in split:
-            known[w] = known[w[:-1]] + known[w[-1:]]
+                body, ids = run, array("I", self.whole.encode(run.decode(), add_special_tokens=False).ids).tobytes()
+        if len(body) < len(run):
+            end = run[len(body) :]
+            if end not in self:
+                self[end] = array("I", self.whole.encode(end.decode(), add_special_tokens=False).ids).tobytes()
+            ids += self[end]
+        self[run] = ids
+        return ids
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        raw = [t.encode() if t else b"" for t in texts]
-        runs = [(t if b"<|" in t else t.lower()).split() for t in raw]  # special ids are written in lower case only
-        new = {w for r in runs for w in r if w not in self.known}
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = {w for r in runs for w in r}
-        self.learn(new)
-        end, get = array("I", [CLOSING]).tobytes(), self.known.__getitem__
-        return [np.frombuffer(b"".join([*map(get, r), end]), dtype="<u4") for r in runs]
+        if len(self) > CACHE:
+            end = self[b""]
+            self.clear()
+            self[b""] = end
+        out, get = [], self.__getitem__
+        for t in texts:
+            raw = t.encode() if t else b""
+            runs = (raw if b"<|" in raw else raw.lower()).split()  # special ids are written in lower case only
+            runs.append(b"")
+            out.append(np.frombuffer(b"".join(map(get, runs)), dtype="<u4"))
+        return out
 
 
 def difference(lengths: list[int], k: int) -> tuple[np.ndarray, int]:
