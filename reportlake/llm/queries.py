@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import language, packing, quality
+from reportlake.llm import decontaminate, language, lines, packing, quality
 from reportlake.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -26,16 +26,31 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op7_decontamination"] = decontaminate.find_sql("documents", "benchmark")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, lambda k: fold(k, 4) != 2)
     return language.predict(docs, model).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.clean(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op9_line_dedup"] = f"select doc_id, n_lines, n_removed, sha256(text) as kept_sha256 from ({lines.clean_sql('documents')})"
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), lambda k: fold(k, 5) != 0)
     return quality.score(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op8_language, op10_quality)}
+QUERIES = {f.__name__: f for f in (op3_packing, op7_decontamination, op8_language, op9_line_dedup, op10_quality)}
