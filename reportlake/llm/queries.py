@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import decontaminate, language, lines, packing, quality
+from reportlake.llm import decontaminate, language, lines, minhash, packing, quality
 from reportlake.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -17,6 +17,13 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_near_duplicates"] = minhash.near_duplicates_sql("documents")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -53,4 +60,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op7_decontamination, op8_language, op9_line_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_packing, op7_decontamination, op8_language, op9_line_dedup, op10_quality)}
