@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import broadcast_if_small
+from reportlake.llm.common import broadcast_if_small, save
 
 RATIO = 0.05
 LEAST = 10
@@ -39,9 +39,9 @@ def _key(line: Column) -> Column:
     return F.when(stripped != "", F.struct(F.xxhash64(stripped).alias("a"), F.xxhash64(stripped, F.lit(1)).alias("b")))
 
 
-def boilerplate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", site: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def boilerplate(docs: DataFrame, *, text: str = "text", site: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """Each site's boilerplate: __site, __key, and the counts that make it so."""
-    rows = docs.select(docs[site].alias("__site"), docs[doc_id].alias("__id"), docs[text].alias("__text"))
+    rows = docs.select(docs[site].alias("__site"), docs[text].alias("__text"))
     pages = rows.groupBy("__site").agg(F.count(F.lit(1)).alias("__pages"))
     # a page's own repeats go before anything is shuffled; what is shuffled are partial counts by line
     held = rows.select("__site", F.explode(F.array_distinct(F.transform(_lines(F.col("__text")), _key))).alias("__key")).where("__key is not null")
@@ -50,9 +50,9 @@ def boilerplate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return joined.where(F.col("__holding") > ratio * F.col("__pages"))
 
 
-def clean(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", site: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def clean(docs: DataFrame, *, text: str = "text", site: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """The rows with cleaned texts, and __n_lines and __n_removed."""
-    found = boilerplate(docs, doc_id=doc_id, text=text, site=site, ratio=ratio, least=least)
+    found = save(docs.sparkSession, boilerplate(docs, text=text, site=site, ratio=ratio, least=least), "boilerplate")
     sites = found.groupBy("__site").agg(F.collect_set("__key").alias("__drop"))
     sites = broadcast_if_small(sites, SMALL)
     lines = _lines(docs[text])

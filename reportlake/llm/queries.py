@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import decontaminate, language, lines, minhash, packing, pii, quality
+from reportlake.llm import decontaminate, language, lines, minhash, neighbours, packing, pii, quality, urls
 from reportlake.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,14 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -72,4 +80,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_near_duplicates, op3_packing, op7_decontamination, op8_language, op9_line_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_near_duplicates, op3_packing, op4_neighbours, op5_urls, op7_decontamination, op8_language, op9_line_dedup, op10_quality)}
