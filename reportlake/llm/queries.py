@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import decontaminate, language, lines, minhash, neighbours, packing, pii, quality, urls
+from reportlake.llm import decontaminate, language, lines, minhash, neighbours, packing, pii, quality, suffixes, urls
 from reportlake.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -53,6 +53,10 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -80,4 +84,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_near_duplicates, op3_packing, op4_neighbours, op5_urls, op7_decontamination, op8_language, op9_line_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_near_duplicates, op3_packing, op4_neighbours, op5_urls, op6_suffixes, op7_decontamination, op8_language, op9_line_dedup, op10_quality)}
