@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from reportlake.llm.common import drop, save
@@ -10,33 +10,35 @@ from reportlake.llm.common import drop, save
 ROUNDS = 60
 
 
+def _noted(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, and what tells them from others: their number and a sum of hashes, noted as they are written."""
+    seen = Observation()
+    out = save(spark, edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "links")
+    return out, (seen.get["n"], seen.get["h"])
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """id and component of every id in links(a, b); component is the smallest id that links lead to.
 
     Alternates large-star and small-star steps until nothing changes: each step
-    keeps at most a row a link, sums before it shuffles, and is written to the
-    shared folder. Links from an id to itself and nulls are ignored.
+    keeps at most a row a link and is written to the shared folder. Links from
+    an id to itself and nulls are ignored.
     """
-    edges = save(spark, links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    edges, was = _noted(spark, links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(ROUNDS):
+        # large-star: the larger neighbours of a go to the smallest of a's neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large-star: larger neighbours of a go to the smallest of a's neighbourhood
-        up = edges.select(F.col("b").alias("a"), F.col("a").alias("n"))
-        large = up.join(least, "a").select(F.col("n").alias("a"), F.col("m").alias("b"))
-        large = save(spark, large.where("a <> b").distinct(), "large")
-        # small-star: smaller neighbours of a, and a, go to the smallest of them
+        large = edges.select(F.col("b").alias("a"), F.col("a").alias("n")).join(least, "a").select(F.col("n").alias("a"), F.col("m").alias("b"))
+        large = save(spark, large, "large")
+        # small-star: the smaller neighbours of a, and a, go to the smallest of them
         lows = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lows, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lows.select("a", F.col("m").alias("b")))
-        after = save(spark, small.where("a <> b").distinct(), "links")
-        same = _digest(after) == _digest(edges)
+        after, now = _noted(spark, small.where("a <> b").distinct())
         drop(spark, edges, large)
         edges = after
-        if same:
+        if now == was:
             break
-    stars = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
-    return stars.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct().join(stars.select("id"), "id", "left_anti"))
-
-
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        was = now
+    stars = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return stars.unionByName(edges.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component")))

@@ -10,14 +10,17 @@ sets (as 64-bit hashes), and links make components.
 Nothing is enumerated inside a group:
 
 * documents with equal sets are one class, for which its smallest id stands;
-* a bucket's members meet its leader, a random one for each band, first one
-  leader each, then leaders of other components, then all they have left;
-* a bucket that still holds several components has its cross pairs compared if
-  they are few for its size, else its members are banded anew among themselves
-  until they are; this misses no more than banding does (5 in a million at 0.75).
-
-Signatures that agree in fewer than 56 of 128 values, 8 standard deviations
-below 0.75, are not compared.
+* a bucket's members meet its leader, a random one for each band: first the
+  leader that a document shares most bands with, then one pair for any two
+  components that meet so;
+* of a bucket that still holds several components, those outside its largest
+  are gathered with others like them into inverted indexes of bounded size, and
+  all members of their buckets stream past each index they share a bucket with.
+  That compares every pair that is left, exactly, and gives a link only where
+  it joins two components, so no more links than documents.
+
+Pairs that meet a leader and whose signatures agree in fewer than 56 of 128
+values, 8 standard deviations below 0.75, are left to the last step.
 
 Null and empty texts, and texts without words, have the empty set and are
 linked with nothing. A null id has no component and links with nothing.
@@ -43,8 +46,8 @@ SIMILARITY = 75  # in hundredths
 PERMUTATIONS = 64
 BANDS = 32
 AGREEING = 56  # of the 128 values, at least
-FEW = 32  # cross pairs a member of a bucket that are compared directly
-LEVELS = 5
+INDEXED = 600_000  # shingles of an index, about
+HOPS = 2  # rounds in which documents with common buckets agree on an index
 TOGETHER = 400  # documents that meet one copy of a leader's text
 CACHE = 500_000
 CHUNK = 20_000  # shingles hashed at a time
@@ -177,8 +180,72 @@ def labelled(rows: DataFrame, stars: DataFrame | None, of: str, name: str) -> Da
     return rows.join(renamed, F.col(of) == F.col("__id"), "left").withColumn(name, F.coalesce("__c", of)).drop("__id", "__c")
 
 
-def _empty(df: DataFrame) -> bool:
-    return not df.take(1)
+class _Index:
+    """Documents by shingle, and which components have met."""
+
+    def __init__(self, docs: list[tuple[int, int, np.ndarray]]):
+        """docs: id, component and shingles."""
+        self.ids, self.parent = [d[0] for d in docs], {}
+        self.of = [d[1] for d in docs]
+        self.sizes = np.array([len(d[2]) for d in docs])
+        flat = np.concatenate([d[2] for d in docs])
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.places = flat[order], np.repeat(np.arange(len(docs)), self.sizes)[order]
+
+    def root(self, c: int) -> int:
+        while (up := self.parent.get(c, c)) != c:
+            self.parent[c] = self.parent.get(up, up)
+            c = up
+        return c
+
+    def links(self, doc: int, component: int, s: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links of a document that join components not joined yet."""
+        low, high = np.searchsorted(self.keys, s), np.searchsorted(self.keys, s, side="right")
+        times = high - low
+        at = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+        both = np.bincount(self.places[at], minlength=len(self.ids))
+        for k in np.flatnonzero(100 * both >= SIMILARITY * (self.sizes + len(s) - both)).tolist():
+            x, y = self.root(component), self.root(self.of[k])
+            if x != y:
+                self.parent[max(x, y)] = min(x, y)
+                yield doc, self.ids[k]
+
+
+def finished(spark: SparkSession, crowded: DataFrame, stars: DataFrame | None, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components that share a bucket."""
+    here = labelled(crowded.select("key", "doc_id"), stars, "doc_id", "c")
+    whole = here.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "c")).alias("top"))
+    mixed = save(spark, here.join(whole.where("top.n < m").select("key", F.col("top.c").alias("top")), "key"), "mixed")
+    outside = mixed.where("c <> top").select("key", "doc_id")
+    label = outside.groupBy("doc_id").agg(F.min("key").alias("label"))
+    for _ in range(HOPS):
+        least = outside.join(label, "doc_id").groupBy("key").agg(F.min("label").alias("label"))
+        label = outside.join(least, "key").groupBy("doc_id").agg(F.min("label").alias("label"))
+    sized = label.join(classes.select("doc_id", "n_shingles"), "doc_id")
+    parts = sized.groupBy("label").agg(F.ceil(F.sum("n_shingles") / INDEXED).alias("parts"))
+    index = save(spark, sized.join(parts, "label").select("label", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), "doc_id"), "index")
+    near = outside.join(index, "doc_id").select("key", "label", "part").distinct()
+    stream = mixed.join(near, "key").select("label", "part", "doc_id").distinct()
+    rows = index.withColumn("kind", F.lit(0)).unionByName(stream.withColumn("kind", F.lit(1)))
+    rows = labelled(rows, stars, "doc_id", "c").join(texts, F.col("doc_id") == F.col("__doc"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, now, docs, made = Words(), None, [], None
+        for frame in frames:
+            found = []
+            for group, part, kind, doc, c, text in zip(frame["label"], frame["part"], frame["kind"], frame["doc_id"], frame["c"], frame["__text"]):
+                if (group, part) != now:
+                    now, docs, made = (group, part), [], None
+                s = shingle_set(text, words)
+                if kind == 0:
+                    docs.append((doc, c, s))
+                    continue
+                made = made or _Index(docs)
+                found += made.links(doc, c, s)
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    dealt = rows.select("label", "part", "kind", "doc_id", "c", "__text").repartition("label", "part").sortWithinPartitions("label", "part", "kind")
+    return save(spark, dealt.mapInPandas(run, "a long, b long"), "finished")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -192,59 +259,29 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     rows = classes.select("doc_id", F.explode("__keys").alias("key"))
     order = F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id")).alias("first")
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), order).where("size > 1").select("key", "size", F.col("first.doc_id").alias("leader"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), order).where("size > 1").select("key", F.col("first.doc_id").alias("leader"))
     crowded = save(spark, rows.join(buckets, "key"), "crowded")
     some = crowded.select("doc_id").distinct()
     source = docs.select(docs[doc_id].cast("long").alias("__doc"), docs[text].alias("__text"))
     texts = save(spark, source.join(some, F.col("__doc") == F.col("doc_id"), "left_semi").dropDuplicates(["__doc"]), "texts")
+    stars = None
 
-    shared = crowded.where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("bands"))
-    shared = save(spark, shared.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"), "bands"), "shared")
-    links, stars = None, None
+    def join(links: DataFrame) -> None:
+        nonlocal stars
+        if links.take(1):
+            old = None if stars is None else stars.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            stars = save(spark, components(spark, links if old is None else links.unionByName(old)), "stars")
 
     def meet(pairs: DataFrame) -> None:
-        nonlocal links, stars
-        pairs = save(spark, agreeing(pairs.select("a", "b"), classes), "pairs")
-        if _empty(pairs):
-            return
-        new = verified(spark, pairs, texts)
-        if _empty(new):
-            return
-        kept = new if stars is None else new.unionByName(stars.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        stars = save(spark, components(spark, kept), "stars")
-
-    def apart(rows: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-        return labelled(labelled(rows, stars, a, "ca"), stars, b, "cb").where("ca <> cb")
-
-    # each document with the leader that it shares most bands with
+        join(verified(spark, save(spark, agreeing(pairs.select("a", "b"), classes), "pairs"), texts))
+
+    shared = crowded.where("doc_id <> leader").groupBy(F.col("doc_id").alias("a"), F.col("leader").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
+    shared = save(spark, shared, "shared")
     meet(shared.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
-    # for any two components that meet, the pair of a document and a leader that shares most bands
-    if stars is not None:
-        two = apart(shared).groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"))
-        meet(two.agg(F.max(F.struct("bands", "a", "b")).alias("m")).select("m.a", "m.b"))
-    # all pairs of a document and a leader that are left
-    meet(apart(shared))
-    # what buckets still hold of several components
-    left = crowded.select("key", "doc_id")
-    for level in range(LEVELS):
-        here = labelled(left, stars, "doc_id", "c")
-        sizes = here.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-        whole = sizes.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "c")).alias("top"), F.sum(F.col("n") * F.col("n")).alias("within")).where("top.n < m")
-        whole = whole.select("key", F.col("top.c").alias("top"), "m", ((F.col("m") * F.col("m") - F.col("within")) / 2 <= FEW * F.col("m")).alias("few"))
-        mixed = save(spark, here.join(whole, "key"), "mixed")
-        if _empty(mixed):
-            break
-        direct = mixed.where("few") if level < LEVELS - 1 else mixed
-        x = direct.where("c <> top").select("key", F.col("doc_id").alias("a"), F.col("c").alias("ca"), "top")
-        y = direct.select("key", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
-        # a pair outside the bucket's largest component is met once
-        cross = x.join(y, "key").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("top")) | (F.col("a") < F.col("b"))))
-        meet(cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        many = mixed.where(~F.col("few")).select(F.col("key").alias("in"), "doc_id")
-        if level == LEVELS - 1 or _empty(many):
-            break
-        deeper = many.join(classes.select("doc_id", "__keys"), "doc_id").select("in", "doc_id", F.explode("__keys").alias("own")).where(F.col("in") != F.col("own"))
-        left = save(spark, deeper.select(F.xxhash64("in", "own").alias("key"), "doc_id"), "deeper")
+    apart = labelled(labelled(shared, stars, "a", "ca"), stars, "b", "cb").where("ca <> cb")
+    apart = apart.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("bands", "a", "b")).alias("m"))
+    meet(apart.select("m.a", "m.b"))
+    join(finished(spark, crowded, stars, classes, texts))
     out = labelled(members, stars, "__first", "component_id")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
