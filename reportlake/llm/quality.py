@@ -128,11 +128,11 @@ def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, keep:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: tuple[dict, list, list] = ({}, [], [])
         for frame in frames:
-            texts = [x if isinstance(x, str) else None for x in frame.pop("__text")]
+            texts = [x if isinstance(x, str) else None for x in (frame["text"] if "text" in keep else frame.pop("__text"))]
             frame["score"] = np.concatenate([score_texts(texts[at : at + 500], margin, bias, *state) for at in range(0, len(texts), 500)] or [np.zeros(0)])
             frame["predicted"] = (frame["score"] >= threshold).astype("int32")
             yield frame
 
-    source = docs.select(*[docs[c] for c in keep], docs["text"].alias("__text"))
+    source = docs.select(*[docs[c] for c in keep], *([] if "text" in keep else [docs["text"].alias("__text")]))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double, predicted int"
     return source.mapInPandas(run, schema)
