@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -42,6 +43,12 @@ def drop(spark: SparkSession, *saved: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps, which it does once the driver has collected what refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Mark a table for broadcast only if it is counted to have at most so many rows; else joins shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -11,11 +11,14 @@ or has reached 50 bytes:
 2. prefixes of 16 bytes, at the positions that are the minimum of some string of
    50 bytes (equal strings have their minimum at the same place, so one position
    in 18 stands for all);
-3. all 50 bytes, for the strings whose 16 byte prefix is in several documents.
+3. all 50 bytes, for prefixes of 16 that are in several documents: they are
+   sorted with the 34 bytes on either side of them, which hold all strings they
+   stand for, and the strings are named where equal prefixes meet.
 
 Texts are stored once, bucketed by id, so what each round finds is joined to
 them without moving them again. Each round holds one row a suffix left; hot
-names are sorted, never gathered. Names of blocks and of 50 bytes are 96 bits or more.
+names are sorted and streamed, never gathered. What a round has shuffled is
+released before the next.
 
 Null texts have no bytes. A null id has no smaller one: such rows stay whole
 and remove nothing elsewhere. Rows that share an id are one document for this
@@ -35,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import save
+from reportlake.llm.common import drop, release, save
 from reportlake.llm.minhash import mix
 
 LENGTH = 50
@@ -44,10 +47,12 @@ SPAN = LENGTH - GRAM + 1  # prefixes of 16 in a string
 BLOCK = 256  # bytes between cuts, on average
 PIECE = 1 << 20  # bytes of a stream of documents, or of a part of a long one
 BUCKET_MB = 24
+SIDE = LENGTH - GRAM
 LOW = np.uint64((1 << 22) - 1)
 P = np.uint64(0xD6E8FEB86659FD93)
 Q = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 LETTERS = mix(np.arange(1, 257, dtype=np.uint64))
+WEIGHTS = mix(np.arange(1001, 1001 + 2 * LENGTH, dtype=np.uint64)) | np.uint64(1)
 
 
 class Stream:
@@ -162,36 +167,68 @@ def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"k": _signed(grams[at]), "doc": ids[s.docs[p]], "at": (at - s.off[p] + s.base[p]).astype(np.int32)})
 
 
-def strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The strings of 50 not settled whose prefix of 16 is in several documents."""
-    for frame in frames:
-        ids, settled, left = frame["doc_id"].to_numpy(), list(frame["blocks"]), list(frame["anchors"])
-        for s in streams(_texts(frame)):
-            live = np.zeros(len(s.raw), dtype=bool)
-            for k, (doc, base, off) in enumerate(zip(s.docs.tolist(), s.base.tolist(), s.off.tolist())):
-                if left[doc] is not None and len(left[doc]):
-                    size = (s.off[k + 1] if k + 1 < len(s.off) else len(s.raw)) - off
-                    at = np.asarray(left[doc], dtype=np.int64) - base
-                    live[off + at[(at >= 0) & (at < size)]] = True
-            at = np.flatnonzero(s.ok & ~_settled(s, settled) & live[s.minima(s.grams())])
-            p = s.part[at]
-            two = mix(s.names(at, at + GRAM) + s.names(at + LENGTH - GRAM, at + LENGTH) * P)
-            yield pd.DataFrame({"k": _signed(s.names(at, at + LENGTH)), "l": (two & np.uint64(0x7FFFFFFF)).astype(np.int32), "doc": ids[s.docs[p]], "at": (at - s.off[p] + s.base[p]).astype(np.int32)})
-
+def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Prefixes of 16 that are in several documents, with what stands around them.
 
-def removed_runs(n: int, spans, starts) -> np.ndarray:
-    """Runs (start, end) of the bytes covered by spans and by strings of 50 from starts."""
+    around: how many bytes there are to the left and right, 34 at most, then
+    those bytes, left and right, each filled to 34.
+    """
+    for frame in frames:
+        for doc, text, left in zip(frame["doc_id"], _texts(frame), frame["anchors"]):
+            n, at = len(text), np.sort(np.asarray(left, dtype=np.int64))
+            raw = np.concatenate([np.zeros(SIDE, dtype=np.uint8), np.frombuffer(text, dtype=np.uint8), np.zeros(SIDE, dtype=np.uint8)])
+            at = at[at + GRAM <= n]
+            if not len(at):
+                continue
+            rows = np.empty((len(at), 2 + 2 * SIDE), dtype=np.uint8)
+            rows[:, 0], rows[:, 1] = np.minimum(at, SIDE), np.minimum(n - at - GRAM, SIDE)
+            rows[:, 2 : 2 + SIDE] = raw[at[:, None] + np.arange(SIDE)]
+            rows[:, 2 + SIDE :] = raw[at[:, None] + SIDE + GRAM + np.arange(SIDE)]
+            gram = raw[at[:, None] + SIDE + np.arange(GRAM)]
+            name = mix((LETTERS[gram] * WEIGHTS[:GRAM]).sum(axis=1, dtype=np.uint64))
+            yield pd.DataFrame({"k": _signed(name), "doc": doc, "at": at.astype(np.int32), "around": [r.tobytes() for r in rows]})
+
+
+def seen_strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From contexts sorted by name and document, the runs (s, e) of bytes whose strings a smaller document holds."""
+    last, known, first = None, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    x = np.arange(SIDE + 1)  # how far before its prefix a string starts
+    for frame in frames:
+        if not len(frame):
+            continue
+        k, doc, at = (frame[c].to_numpy() for c in ("k", "doc", "at"))
+        rows = np.frombuffer(b"".join(frame["around"]), dtype=np.uint8).reshape(len(frame), -1)
+        zero = np.zeros((len(frame), 1), dtype=np.uint64)
+        left = np.concatenate([zero, np.cumsum((LETTERS[rows[:, 2 : 2 + SIDE]] * WEIGHTS[:SIDE])[:, ::-1], axis=1, dtype=np.uint64)], axis=1)
+        right = np.concatenate([zero, np.cumsum(LETTERS[rows[:, 2 + SIDE :]] * WEIGHTS[SIDE : 2 * SIDE], axis=1, dtype=np.uint64)], axis=1)
+        name = mix(left[:, x] + right[:, SIDE - x] + mix(k.view(np.uint64))[:, None] + WEIGHTS[x])
+        ok = (x <= rows[:, :1]) & (SIDE - x <= rows[:, 1:2])
+        # rows come by document, so a name's first occurrence is its smallest document; the last prefix may go on from the batch before
+        before = known if last == k[0] else known[:0]
+        flat, of = np.concatenate([before, name[ok]]), np.concatenate([first[: len(before)], np.broadcast_to(doc[:, None], ok.shape)[ok]])
+        names, where, back = np.unique(flat, return_index=True, return_inverse=True)
+        seen = np.zeros(ok.shape, dtype=bool)
+        seen[ok] = of[where][back[len(before) :]] < of[len(before) :]
+        goes_on = k == k[-1]
+        own = np.unique(name[goes_on][ok[goes_on]])
+        own = np.union1d(own, before) if last == k[-1] else own
+        last, known, first = k[-1], own, of[where][np.searchsorted(names, own)]
+        # runs of neighbouring starts: x falls as the start rises
+        edge = np.diff(np.concatenate([zero.astype(np.int8), seen.astype(np.int8), zero.astype(np.int8)], axis=1), axis=1)
+        row, low = np.nonzero(edge == 1)
+        _, high = np.nonzero(edge == -1)
+        yield pd.DataFrame({"doc": doc[row], "s": (at[row] - high + 1).astype(np.int32), "e": (at[row] - low + LENGTH).astype(np.int32)})
+
+
+def removed_runs(n: int, *spans) -> np.ndarray:
+    """Runs (start, end) of the bytes that spans cover; spans: flat arrays of starts and ends."""
     edge = np.zeros(n + 1, dtype=np.int64)
-    if spans is not None and len(spans):
-        s = np.asarray(spans, dtype=np.int64).reshape(-1, 2)
-        s = s[s[:, 1] <= n]
-        np.add.at(edge, s[:, 0], 1)
-        np.add.at(edge, s[:, 1], -1)
-    if starts is not None and len(starts):
-        a = np.asarray(starts, dtype=np.int64)
-        a = a[a + LENGTH <= n]
-        np.add.at(edge, a, 1)
-        np.add.at(edge, a + LENGTH, -1)
+    for some in spans:
+        if some is not None and len(some):
+            s = np.asarray(some, dtype=np.int64).reshape(-1, 2)
+            s = s[s[:, 1] <= n]
+            np.add.at(edge, s[:, 0], 1)
+            np.add.at(edge, s[:, 1], -1)
     inside = np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]])
     return np.flatnonzero(np.diff(inside)).reshape(-1, 2)
 
@@ -199,8 +236,8 @@ def removed_runs(n: int, spans, starts) -> np.ndarray:
 def results(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
-        for t, spans, starts in zip(_texts(frame), frame["blocks"], frame["starts"]):
-            runs = removed_runs(len(t), spans, starts)
+        for t, *spans in zip(_texts(frame), frame["blocks"], frame["strings"]):
+            runs = removed_runs(len(t), *spans)
             kept, at = hashlib.sha256(), 0
             for a, b in runs.tolist():
                 kept.update(t[at:a])
@@ -224,17 +261,28 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (BUCKET_MB << 20)))
-    known = source.where("doc_id is not null")
-    found = known.mapInPandas(blocks, "k long, l long, doc long, s int, e int")
-    found = _several(found, ["k", "l"]).where("least < doc").groupBy("doc").agg(F.flatten(F.collect_list(F.array("s", "e"))).alias("blocks"))
+    spans = F.flatten(F.collect_list(F.array("s", "e")))
+    found = source.where("doc_id is not null").mapInPandas(blocks, "k long, l long, doc long, s int, e int")
+    found = _several(found, ["k", "l"]).where("least < doc").groupBy("doc").agg(spans.alias("blocks"))
     name = f"suffixes_{uuid.uuid4().hex}"
-    source.join(found, source["doc_id"] == found["doc"], "left").select("doc_id", "text", "blocks").repartition(n, "doc_id").write.bucketBy(n, "doc_id").sortBy("doc_id").option("compression", "zstd").saveAsTable(name)
+    placed = source.join(found, source["doc_id"] == found["doc"], "left").select("doc_id", "text", "blocks").repartition(n, "doc_id")
+    placed.write.bucketBy(n, "doc_id").sortBy("doc_id").option("compression", "zstd").saveAsTable(name)
     stored = spark.table(name)
     try:
-        some = stored.where("doc_id is not null")
-        prefixes = _several(some.mapInPandas(anchors, "k long, doc long, at int"), ["k"]).groupBy("doc").agg(F.collect_list("at").alias("anchors"))
-        left = save(spark, some.join(prefixes, some["doc_id"] == prefixes["doc"]).select("doc_id", "text", "blocks", "anchors").mapInPandas(strings, "k long, l int, doc long, at int").transform(lambda x: _several(x, ["k", "l"]).where("least < doc")).groupBy("doc").agg(F.collect_list("at").alias("starts")), "starts")
-        joined = stored.join(left, stored["doc_id"] == left["doc"], "left").select("doc_id", "text", "blocks", "starts")
-        return save(spark, joined.mapInPandas(results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<int>"), "kept")
+        del found, placed
+        release(spark)
+        prefixes = stored.where("doc_id is not null").mapInPandas(anchors, "k long, doc long, at int")
+        left = save(spark, _several(prefixes, ["k"]).groupBy("doc").agg(F.collect_list("at").alias("anchors")), "anchors")
+        del prefixes
+        release(spark)
+        around = stored.join(left, stored["doc_id"] == left["doc"]).select("doc_id", "text", "anchors").mapInPandas(contexts, "k long, doc long, at int, around binary")
+        dealt = around.repartition("k").sortWithinPartitions("k", "doc").mapInPandas(seen_strings, "doc long, s int, e int")
+        seen = save(spark, dealt.groupBy("doc").agg(spans.alias("strings")), "strings")
+        del around, dealt
+        release(spark)
+        joined = stored.join(seen, stored["doc_id"] == seen["doc"], "left").select("doc_id", "text", "blocks", "strings")
+        out = save(spark, joined.mapInPandas(results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<int>"), "kept")
+        drop(spark, left, seen)
+        return out
     finally:
         spark.sql(f"drop table {name}")
