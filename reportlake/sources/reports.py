@@ -53,7 +53,7 @@ def parse_pdf(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Text files, one report each; their tables are lines only."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return files.select(_stem().alias("doc_id"), "text", F.array().cast("array<array<array<string>>>").alias("tables"), F.lit(None).cast("string").alias("error"))
 
 
