@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     every = save(spark, features(docs, doc_id, text), "features")
     firsts = every.where("n_shingles > 0").groupBy("__a", "__b").agg(F.min("doc_id").alias("__first"))
-    members = save(spark, every.select("doc_id", "n_shingles", "__a", "__b").join(firsts, ["__a", "__b"], "left").select("doc_id", "n_shingles", "__first"), "members")
+    members = save(spark, every.select("doc_id", "n_shingles", "__a", "__b").join(firsts, ["__a", "__b"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("__first")).alias("__first")), "members")
     classes = save(spark, every.join(firsts.select(F.col("__first").alias("doc_id")), "doc_id", "left_semi").where("n_shingles > 0").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "__keys", "__sig"), "classes")
     drop(spark, every)
 

@@ -122,7 +122,7 @@ class Search:
         self.of = self.of.ravel()
         self.codes = index.codes(self.unit)
         values = np.arange(256, dtype=np.uint8)
-        self.probes = [np.packbits(np.bitwise_count(values[:, None] ^ self.codes[:, j][None]) <= r if r >= 0 else np.zeros((256, len(self.codes)), dtype=bool), axis=1) for j, r in enumerate(index.substring_radii(min(radius, index.rotation.shape[1] - 1)))]
+        self.probes = [np.packbits(np.bitwise_count(values[:, None] ^ self.codes[:, j][None]) <= r if r >= 0 else np.zeros((256, len(self.codes)), dtype=bool), axis=1) for j, r in enumerate(index.substring_radii(radius))]
         self.q, self.s, self.r = (np.zeros(0, dtype=t) for t in (np.int64, np.float64, np.int64))
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
