@@ -6,8 +6,8 @@ in unusual forms, and secrets such as keys, tokens and passwords. It is trained
 here, in numpy, from labelled spans that `examples` makes; its units use
 piecewise linear sigmoids. Each window is decoded by Viterbi; a character in
 the overlap of two windows takes the label of the one that sees more around it,
-and spans are read off the reconciled labels of the whole text. Windows whose
-scores rule out any label are not decoded: that bound is exact.
+and spans are read off the reconciled labels of the whole text. Windows in which
+no run of any label gains on O are not traced back: they hold none.
 
 Null and empty texts hold nothing. Repeated rows are judged alike, whatever
 stands beside them; empty tables give no rows; other columns are not read.
@@ -107,9 +107,9 @@ def examples(n: int, length: int, rng: np.random.Generator) -> tuple[np.ndarray,
         return "".join(rng.choice(list(alphabet), rng.integers(low, high + 1)))
 
     def word() -> str:
-        w = some("etaoinshrdlucmfwypvbgkéäüñ" if rng.random() < 0.3 else "etaoinshrdlucmfwypvbgk", 1, 11)
+        w = some("eeettaaooiinnsshhrrddlluccmmfwyppvvbbgkjqxz" + ("éäüñèçßó" if rng.random() < 0.4 else ""), 1, 13)
         w = w.upper() if rng.random() < 0.03 else w.capitalize() if rng.random() < 0.15 else w
-        return w + (rng.choice([".", ",", "%%%", "!!", " |"], p=[0.4, 0.4, 0.07, 0.06, 0.07]) if rng.random() < 0.2 else "")
+        return w + (rng.choice([".", ",", "%%%", "***", "$$$", "&&&", "###", "!!", " |"], p=[0.4, 0.35, 0.03, 0.03, 0.03, 0.03, 0.03, 0.05, 0.05]) if rng.random() < 0.2 else "")
 
     digits, hexes, mixed = "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     host = lambda: f"{some(LOWER, 3, 8)}{some(digits, 0, 1)}.{some(LOWER, 2, 7)}.{rng.choice(['com', 'org', 'net', 'de', 'fr'])}"
@@ -318,9 +318,17 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
 def decode(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows (columns of x) that hold labels, and their labels (time, windows)."""
     e, tr = emissions(p, x), p["trans"]
-    leave = np.maximum(0, tr[1:, 0] - tr[0, 0])
-    most = np.maximum(np.maximum(tr[0, 1:], np.diag(tr)[1:]) - tr[0, 0], 0) + leave  # what transitions can add to a label's character
-    may = ((e[:, 1:] - e[:, :1]).max(0) + most[:, None] > 0).any(0)
+    # what the best run of a label that ends here adds to a path of O alone; a path with labels is a sum of such runs
+    begin, stay, end = (v[:, None] - tr[0, 0] for v in (tr[0, 1:], np.diag(tr)[1:], tr[1:, 0]))
+    gain = np.subtract(e[:, 1:], e[:, :1])
+    run = gain[0].copy()
+    most = run.copy()
+    for now in gain[1:]:
+        run += stay
+        np.maximum(run, begin, out=run)
+        run += now
+        np.maximum(most, run, out=most)
+    may = ((most + end > 0) | (run > 0)).any(0)
     found = np.flatnonzero(may)
     if not len(found):
         return found, np.zeros((len(x), 0), dtype=np.uint8)
