@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +58,29 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most so many rows, chosen by a hash of the key: the same rows in any run and layout."""
     return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)
+
+
+class WordRows:
+    """Numbers kept for each word that a task has met, at most about `most` words; beyond, it starts anew."""
+
+    def __init__(self, width: int, most: int = 400_000):
+        self.place: dict = {}
+        self.table = np.zeros((1024, width))
+        self.most = most
+
+    def new(self, runs: list[list]) -> list:
+        """Words of the runs without a row."""
+        if len(self.place) > self.most:
+            self.place.clear()
+        place = self.place
+        return list({w for r in runs for w in r if w not in place})
+
+    def add(self, words: list, rows: np.ndarray) -> None:
+        n = len(self.place)
+        if n + len(words) > len(self.table):
+            self.table = np.concatenate([self.table[:n], np.zeros((n + 2 * len(words), self.table.shape[1]))])
+        self.table[n : n + len(words)] = rows
+        self.place.update(zip(words, range(n, n + len(words))))
+
+    def sum(self, run: list) -> np.ndarray:
+        return self.table[np.fromiter(map(self.place.__getitem__, run), np.int64, len(run))].sum(axis=0)

@@ -22,12 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import bounded_sample
+from reportlake.llm.common import WordRows, bounded_sample
 
 ORDERS = (5, 4, 3, 2, 1)
 TRAINING_ROWS = 3000  # labelled rows at most that are learned from
 LEAST = 2  # a word or n-gram seen less often is unknown
-CACHE = 500_000
 LONGEST = 48  # characters of an unseen word's n-grams that are looked up at most from either end
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -87,21 +86,16 @@ def train(rows: list[tuple[str | None, str]]) -> Model:
     return model
 
 
-def predict_texts(texts: list[str | None], model: Model, known: dict[str, int], rows: list[np.ndarray]) -> tuple[list[str], list[float]]:
-    if len(known) > CACHE:
-        known.clear(), rows.clear()
+def predict_texts(texts: list[str | None], model: Model, known: WordRows) -> tuple[list[str], list[float]]:
     split = [words_of(t) for t in texts]
-    for w in {w for s in split for w in s}:
-        if w not in known:
-            known[w] = len(rows)
-            rows.append(model.of(w))
-    table = np.array(rows) if rows else np.zeros((0, len(model.languages)))
+    if model.languages and (new := known.new(split)):
+        known.add(new, np.array([model.of(w) for w in new]))
     langs, scores = [], []
     for s in split:
         if not s or not model.languages:
             langs.append("und"), scores.append(0.0)
             continue
-        total = table[np.fromiter(map(known.__getitem__, s), np.int64, len(s))].sum(axis=0)
+        total = known.sum(s)
         p = np.exp(total - total.max())
         langs.append(model.languages[int(p.argmax())]), scores.append(float(p.max() / p.sum()))
     return langs, scores
@@ -120,10 +114,10 @@ def predict(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: tuple[dict, list] = ({}, [])
+        known = WordRows(len(shared.value.languages))
         for frame in frames:
             texts = [x if isinstance(x, str) else None for x in frame.pop("__text")]
-            parts = [predict_texts(texts[at : at + 500], shared.value, *state) for at in range(0, len(texts), 500)]
+            parts = [predict_texts(texts[at : at + 500], shared.value, known) for at in range(0, len(texts), 500)]
             frame["lang_pred"] = [x for p in parts for x in p[0]]
             frame["score"] = np.array([x for p in parts for x in p[1]], dtype=np.float64)
             yield frame

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import bounded_sample
+from reportlake.llm.common import WordRows, bounded_sample
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -31,7 +31,6 @@ EPOCHS = 6
 RATE = 0.5
 TRAINING_ROWS = 3000  # labelled rows at most that are learned from
 THRESHOLD = 0.3
-CACHE = 500_000
 SEED = 7
 
 
@@ -86,25 +85,19 @@ def train(texts: list[str | None], labels: list[int], *, size: int = BUCKETS, ep
     return model
 
 
-def score_texts(texts: list[str | None], margin: np.ndarray, bias: float, known: dict[bytes, int], sums: list[float], counts: list[int]) -> np.ndarray:
-    """Scores; known, sums and counts keep each word's place, log-odds and number of buckets between calls."""
-    if len(known) > CACHE:
-        known.clear(), sums.clear(), counts.clear()
+def score_texts(texts: list[str | None], margin: np.ndarray, bias: float, known: WordRows) -> np.ndarray:
+    """Scores; known keeps each word's log-odds and number of buckets between calls."""
     runs = [t.encode().split() if t else [] for t in texts]
-    new = [w for w in {w for r in runs for w in r} if w not in known]
-    if new:
+    if new := known.new(runs):
         found = [buckets(w, len(margin)) for w in new]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = margin[np.fromiter((b for f in found for b in f), np.int64, int(sizes.sum()))]
-        known.update(zip(new, range(len(sums), len(sums) + len(new))))
-        sums.extend(np.add.reduceat(flat, np.cumsum(sizes) - sizes).tolist())
-        counts.extend(sizes.tolist())
-    s, c = np.array(sums), np.array(counts, dtype=np.float64)
+        known.add(new, np.stack([np.add.reduceat(flat, np.cumsum(sizes) - sizes), sizes], axis=1))
     out = np.full(len(texts), bias)
     for i, r in enumerate(runs):
         if r:
-            ids = np.fromiter(map(known.__getitem__, r), np.int64, len(r))
-            out[i] += s[ids].sum() / c[ids].sum()
+            total, n = known.sum(r)
+            out[i] += total / n
     return 1 / (1 + np.exp(-out))
 
 
@@ -126,10 +119,10 @@ def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, keep:
     margin, bias = model.margins()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: tuple[dict, list, list] = ({}, [], [])
+        known = WordRows(2)
         for frame in frames:
             texts = [x if isinstance(x, str) else None for x in (frame["text"] if "text" in keep else frame.pop("__text"))]
-            frame["score"] = np.concatenate([score_texts(texts[at : at + 500], margin, bias, *state) for at in range(0, len(texts), 500)] or [np.zeros(0)])
+            frame["score"] = np.concatenate([score_texts(texts[at : at + 500], margin, bias, known) for at in range(0, len(texts), 500)] or [np.zeros(0)])
             frame["predicted"] = (frame["score"] >= threshold).astype("int32")
             yield frame
 

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import brute  # noqa: E402
+from reportlake.llm.common import WordRows
 from reportlake.llm import components, decontaminate, language, lines, minhash, neighbours, packing, pii, quality, queries, suffixes, urls
 
 SF = "/root/testdata/sf0.001"
@@ -344,9 +345,9 @@ def test_language_held_out(spark):
 
 def test_language_backoff(spark, none):
     model = language.train([("the cat the cat sat", "en"), ("le chat le chat assis", "fr"), (None, "fr")])
-    langs, scores = language.predict_texts(["the", "cats", "chats!", "123 --", None, "", "qqq"], model, {}, [])
+    langs, scores = language.predict_texts(["the", "cats", "chats!", "123 --", None, "", "qqq"], model, WordRows(2))
     assert langs[:3] == ["en", "en", "fr"] and langs[3:6] == ["und"] * 3 and scores[3:6] == [0.0] * 3 and 0 < scores[6] <= 1
-    assert language.train([]).languages == [] and language.predict_texts(["x"], language.train([]), {}, [])[0] == ["und"]
+    assert language.train([]).languages == [] and language.predict_texts(["x"], language.train([]), WordRows(0))[0] == ["und"]
     assert language.predict(none, model).count() == 0
 
 
