@@ -173,20 +173,36 @@ def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     around: how many bytes there are to the left and right, 34 at most, then
     those bytes, left and right, each filled to 34.
     """
+    pad = np.zeros(SIDE, dtype=np.uint8)
+
+    def made(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        """parts: document, its bytes, positions."""
+        raw = np.concatenate([x for _, text, _ in parts for x in (pad, text, pad)])
+        sizes, counts = (np.array([len(p[i]) for p in parts]) for i in (1, 2))
+        at = np.concatenate([p[2] for p in parts])
+        n = np.repeat(sizes, counts)
+        place = at + np.repeat(np.cumsum(sizes + 2 * SIDE) - sizes - SIDE, counts)
+        rows = np.empty((len(at), 2 + 2 * SIDE), dtype=np.uint8)
+        rows[:, 0], rows[:, 1] = np.minimum(at, SIDE), np.minimum(n - at - GRAM, SIDE)
+        seen = np.lib.stride_tricks.sliding_window_view(raw, SIDE + GRAM + SIDE)[place - SIDE]
+        rows[:, 2 : 2 + SIDE], rows[:, 2 + SIDE :] = seen[:, :SIDE], seen[:, SIDE + GRAM :]
+        name = mix((LETTERS[seen[:, SIDE : SIDE + GRAM]] * WEIGHTS[:GRAM]).sum(axis=1, dtype=np.uint64))
+        whole, size = rows.tobytes(), rows.shape[1]
+        return pd.DataFrame({"k": _signed(name), "doc": np.repeat(np.array([p[0] for p in parts], dtype=np.int64), counts), "at": at.astype(np.int32), "around": [whole[i : i + size] for i in range(0, len(whole), size)]})
+
     for frame in frames:
+        held, rows = [], 0
         for doc, text, left in zip(frame["doc_id"], _texts(frame), frame["anchors"]):
-            n, at = len(text), np.sort(np.asarray(left, dtype=np.int64))
-            raw = np.concatenate([np.zeros(SIDE, dtype=np.uint8), np.frombuffer(text, dtype=np.uint8), np.zeros(SIDE, dtype=np.uint8)])
-            at = at[at + GRAM <= n]
-            if not len(at):
-                continue
-            rows = np.empty((len(at), 2 + 2 * SIDE), dtype=np.uint8)
-            rows[:, 0], rows[:, 1] = np.minimum(at, SIDE), np.minimum(n - at - GRAM, SIDE)
-            rows[:, 2 : 2 + SIDE] = raw[at[:, None] + np.arange(SIDE)]
-            rows[:, 2 + SIDE :] = raw[at[:, None] + SIDE + GRAM + np.arange(SIDE)]
-            gram = raw[at[:, None] + SIDE + np.arange(GRAM)]
-            name = mix((LETTERS[gram] * WEIGHTS[:GRAM]).sum(axis=1, dtype=np.uint64))
-            yield pd.DataFrame({"k": _signed(name), "doc": doc, "at": at.astype(np.int32), "around": [r.tobytes() for r in rows]})
+            at = np.sort(np.asarray(left, dtype=np.int64))
+            at = at[at + GRAM <= len(text)]
+            if len(at):
+                held.append((doc, np.frombuffer(text, dtype=np.uint8), at))
+                rows += len(at)
+            if rows > 40_000:
+                yield made(held)
+                held, rows = [], 0
+        if held:
+            yield made(held)
 
 
 def seen_strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
