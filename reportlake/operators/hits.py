@@ -50,21 +50,35 @@ def patterns(units: tuple[str, ...]) -> dict[str, tuple[str, int, int]]:
 
 
 def pattern_hits(flat: Column, kpis: tuple[Kpi, ...], only: str | None = None) -> Column:
-    """For each indicator the leftmost match of the first pattern that matches anywhere."""
+    """For each indicator the leftmost match of the first pattern that matches anywhere.
+
+    A search for the units as plain text comes before the patterns, which all
+    need one. The text is searched once for a match; its groups are then read
+    from the match alone.
+    """
+    low = F.translate(F.lower(flat), "ſ", "s")  # the one other letter that patterns without case take for one of a unit's
     out = []
     for i, k in enumerate(kpis):
         if not k.units:
             continue
-        chain = F
+        bare, bracketed = contains_any(low, [u.lower() for u in k.units]), contains_any(low, [f"({u.lower()})" for u in k.units])
+        chain = []
         for name, (p, value, unit) in patterns(k.units).items():
             if only in (None, name):
-                raw = strip(F.regexp_extract(flat, p, value))
-                raw = F.regexp_replace(raw, "[.,;]+$", "") if name == "bracket_unit_near_value" else raw
-                chain = chain.when(flat.rlike(p), hit(i, k, "regex", raw, strip(F.regexp_extract(flat, p, unit)), SOURCES["regex"][2]))
-        out.append(chain)
+                chain.append(_match(i, k, F.when(bracketed if name.startswith("bracket") else bare, F.regexp_extract(flat, p, 0)), p, value, unit, name == "bracket_unit_near_value"))
+        out.append(F.coalesce(*chain))
     return found(out)
 
 
+def _match(i: int, k: Kpi, whole: Column, p: str, value: int, unit: int, bare_end: bool) -> Column:
+    def read(m: Column) -> Column:
+        raw = strip(F.regexp_extract(m, p, value))
+        raw = F.regexp_replace(raw, "[.,;]+$", "") if bare_end else raw
+        return hit(i, k, "regex", raw, strip(F.regexp_extract(m, p, unit)), SOURCES["regex"][2])
+
+    return F.get(F.transform(F.filter(F.array(whole), lambda m: m != ""), read), F.lit(0))
+
+
 # ---- windows of two sentences
 
 

@@ -53,6 +53,7 @@ def extract_kpis(reports: DataFrame, kpis: tuple[Kpi, ...] = DEFAULT, *, llm: Ca
     results = fuse.shaped(fuse.best(found))
     if llm is None:
         return results
+    results = results.persist()  # read twice: for what is missing and for what is not
     open_ = fuse.missing(results).select("doc_id").distinct()
     answers = fuse.answered(fuse.ask(reports.join(open_, "doc_id", "left_semi"), llm), kpis)
     return fuse.backfill(results, answers)

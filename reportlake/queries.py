@@ -148,9 +148,9 @@ for _name in ("regex", "table_grid", "table_plain", "nlp"):
     named(f"norm_{_name}", norm_query(_name))
 
 
-def stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stub(results: DataFrame) -> DataFrame:
     """Answers of a stub client to the reports that miss something, as JSON."""
-    open_ = fuse.missing(final(spark, sf_dir)).select("doc_id").distinct()
+    open_ = fuse.missing(results).select("doc_id").distinct()
     raw = F.expr("CASE CAST(doc_id AS BIGINT) % 4 WHEN 0 THEN '1.5 million' WHEN 1 THEN concat(doc_id, ',000') WHEN 2 THEN 'unknown' END")
     unit = {"total_ghg_emissions": "tCO2e", "energy_consumption": "kWh"}
     answer = F.to_json(F.struct(*[F.struct(raw.alias("raw_value"), F.lit(unit.get(k.code)).cast("string").alias("raw_unit")).alias(k.code) for k in DEFAULT]))
@@ -159,7 +159,7 @@ def stub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def norm_llm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuse.answered(stub(spark, sf_dir), DEFAULT).select("doc_id", "code", "value", "unit")
+    return fuse.answered(stub(final(spark, sf_dir)), DEFAULT).select("doc_id", "code", "value", "unit")
 
 
 def scored(df: DataFrame) -> DataFrame:
@@ -193,7 +193,8 @@ def missing_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def llm_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filled = fuse.backfill(final(spark, sf_dir), fuse.answered(stub(spark, sf_dir), DEFAULT))
+    results = final(spark, sf_dir).persist()  # read twice
+    filled = fuse.backfill(results, fuse.answered(stub(results), DEFAULT))
     return plain(filled).select("doc_id", "code", "value", "unit", "confidence", "source", "status")
 
 
