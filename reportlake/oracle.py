@@ -199,7 +199,13 @@ SELECT l_orderkey, l_linenumber, raw_unit, allowed[1] AS unit, {factor_sql('raw_
 SCORE_SQL = f"""WITH a AS (SELECT l_orderkey, l_linenumber, {code_pick()} AS code, {source_pick()} AS source, {unit_pick()} AS unit, CASE WHEN l_suppkey % 3 <> 0 THEN l_quantity END AS value, l_discount * 10 AS confidence FROM lineitem), b AS (SELECT *, {per_code(lambda k: listed(k.units))} AS allowed FROM a)
 SELECT l_orderkey, l_linenumber, source, round({score_sql('value', 'unit', 'allowed', 'confidence')}, 9) AS score FROM b"""
 
+CONSOLE = """rpad(code, CAST(greatest(24, length(code)) AS INTEGER), ' ') || ' ' || lpad(v, CAST(greatest(18, length(v)) AS INTEGER), ' ') || ' ' || rpad(u, CAST(greatest(8, length(u)) AS INTEGER), ' ') || ' ' || lpad(printf('%.2f', confidence), 5, ' ') || ' ' || rpad(source, CAST(greatest(14, length(source)) AS INTEGER), ' ') || ' ' || status"""
 SQL = {
+    "text_flat": "SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS digest FROM documents",
+    "text_folded": f"SELECT doc_id, md5({normal('text')}) AS digest FROM documents",
+    "text_lines": "WITH c AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ls FROM documents) SELECT doc_id, len(ls) AS n_lines, CAST(coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0) AS BIGINT) AS chars FROM c",
+    "kpi_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(k.code)}, {q('|'.join(k.names))}, {q('|'.join(k.units))})" for i, k in enumerate(DEFAULT)) + ") AS t(ord, code, synonyms, units)",
+    "console_report": chain(f"SELECT doc_id, ord, {CONSOLE} AS line FROM shown", "shown AS (SELECT *, coalesce(printf('%.3f', value), 'None') AS v, coalesce(unit, 'None') AS u FROM results)"),
     "num_locale": num_sql(written(DUCK), "false"),
     "num_scaled": num_sql(scaled(DUCK), "true"),
     "unit_norm": UNIT_SQL,

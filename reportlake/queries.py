@@ -12,7 +12,7 @@ from reportlake import oracle
 from reportlake.functions import units
 from reportlake.functions.numbers import with_numbers
 from reportlake.functions.scores import score
-from reportlake.functions.text import lines, sentences, unit_token_wide
+from reportlake.functions.text import collapse, lines, plain_words, sentences, unit_token_wide
 from reportlake.operators import fuse, hits
 from reportlake.operators.normalise import candidates
 from reportlake.plans import analytics
@@ -70,6 +70,36 @@ def num_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_numbers(rows, "raw", F.lit(True), "number")
 
 
+@query
+def text_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents with white space collapsed, as a digest."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(collapse(F.col("text"))).alias("digest"))
+
+
+@query
+def text_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents in lower case without accents, as a digest."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(plain_words(F.col("text"))).alias("digest"))
+
+
+@query
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", lines(F.col("text")).alias("ls"))
+    return found.select("doc_id", F.size("ls").cast("long").alias("n_lines"), F.aggregate("ls", F.lit(0).cast("long"), lambda n, s: n + F.length(s)).alias("chars"))
+
+
+@query
+def kpi_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue as a table."""
+    return dimension(spark).select("ord", "code", F.concat_ws("|", "synonyms").alias("synonyms"), F.concat_ws("|", "units").alias("units"))
+
+
+@query
+def console_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of fixed width, one a result."""
+    return sinks.console(final(spark, sf_dir)).select("doc_id", "ord", "line")
+
+
 def with_allowed(df: DataFrame) -> DataFrame:
     return df.withColumn("allowed", by_code(DEFAULT, F.col("code"), lambda k: strings(k.units)))
 

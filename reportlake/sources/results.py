@@ -51,5 +51,5 @@ def write_json(results: DataFrame, path: str) -> None:
 
 def console(results: DataFrame) -> DataFrame:
     """Lines of fixed width: code, value, unit, confidence, source, status."""
-    text = F.format_string("%-24s %18s %-8s %5s %-14s %s", "code", F.coalesce(F.col("value").cast("string"), F.lit("None")), F.coalesce("unit", F.lit("None")), F.format_number("confidence", 2), F.concat_ws(",", "source"), "status")
+    text = F.format_string("%-24s %18s %-8s %5s %-14s %s", "code", F.when(F.col("value").isNull(), "None").otherwise(F.format_string("%.3f", "value")), F.coalesce("unit", F.lit("None")), F.format_number("confidence", 2), F.concat_ws(",", "source"), "status")
     return results.select("doc_id", "ord", text.alias("line"))

@@ -191,7 +191,7 @@ def test_sinks(spark, samples, tmp_path):
     assert text.splitlines()[0] == "code,value,unit,confidence,source"
     docs = {r.doc_id: json.loads(r.json) for r in sinks.as_json(found).collect()}
     assert [k["code"] for k in docs["nlp"]["kpis"]] == [k.code for k in DEFAULT] and docs["nothing"]["kpis"][0]["value"] is None
-    assert "123400" in sinks.console(found).where("doc_id = 'nlp' and ord = 0").first().line
+    assert "123400.000" in sinks.console(found).where("doc_id = 'nlp' and ord = 0").first().line
 
 
 def test_analytics(samples):
