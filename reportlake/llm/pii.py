@@ -95,9 +95,12 @@ def lookup() -> np.ndarray:
     return table
 
 
+LOOKUP = lookup()
+
+
 def classes(text: str) -> np.ndarray:
     code = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
-    return np.where(code < 128, lookup()[np.minimum(code, 127)], LETTER).astype(np.uint8)
+    return np.where(code < 128, LOOKUP[np.minimum(code, 127)], LETTER).astype(np.uint8)
 
 
 def examples(n: int, length: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
