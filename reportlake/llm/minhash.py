@@ -46,7 +46,7 @@ SIMILARITY = 75  # in hundredths
 PERMUTATIONS = 64
 BANDS = 32
 AGREEING = 56  # of the 128 values, at least
-INDEXED = 600_000  # shingles of an index, about
+INDEXED = 200_000  # shingles of an index, about
 HOPS = 2  # rounds in which documents with common buckets agree on an index
 TOGETHER = 400  # documents that meet one copy of a leader's text
 CACHE = 500_000
