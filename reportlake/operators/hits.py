@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.functions.text import SPACE, alternatives, contains_any, first, lines, plain_words, sentences, strip, token, unit_token
@@ -35,6 +35,15 @@ def found(hits: list[Column]) -> Column:
     return F.filter(F.array(*hits) if hits else F.array().cast(f"array<{HIT}>"), lambda h: h.isNotNull())
 
 
+def rows(df: DataFrame, hits: Column) -> DataFrame:
+    """doc_id and the hits, one row each.
+
+    Outer, and filtered after: from a plain explode the optimiser infers a
+    filter on the array, which would be computed a second time for it.
+    """
+    return df.select("doc_id", F.inline_outer(hits)).where("code IS NOT NULL")
+
+
 # ---- patterns anchored at a unit
 
 

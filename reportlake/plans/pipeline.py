@@ -43,8 +43,7 @@ def prepared(reports: DataFrame) -> DataFrame:
 
 def raw_hits(reports: DataFrame, kpis: tuple[Kpi, ...] = DEFAULT, extractors: tuple[Extractor, ...] = EXTRACTORS) -> DataFrame:
     """doc_id and the hits of the extractors, one row each."""
-    ready = prepared(reports)
-    return ready.select("doc_id", F.inline(F.concat(*[e.of(kpis) for e in extractors])))
+    return hits.rows(prepared(reports), F.concat(*[e.of(kpis) for e in extractors]))
 
 
 def extract_kpis(reports: DataFrame, kpis: tuple[Kpi, ...] = DEFAULT, *, llm: Callable[[str], str | None] | None = None, extractors: tuple[Extractor, ...] = EXTRACTORS) -> DataFrame:
@@ -53,7 +52,6 @@ def extract_kpis(reports: DataFrame, kpis: tuple[Kpi, ...] = DEFAULT, *, llm: Ca
     results = fuse.shaped(fuse.best(found))
     if llm is None:
         return results
-    results = results.persist()  # read twice: for what is missing and for what is not
     open_ = fuse.missing(results).select("doc_id").distinct()
     answers = fuse.answered(fuse.ask(reports.join(open_, "doc_id", "left_semi"), llm), kpis)
     return fuse.backfill(results, answers)

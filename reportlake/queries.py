@@ -119,7 +119,7 @@ def score_calc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pattern_query(only: str | None):
-    return lambda spark, sf_dir: shown(ready(spark, sf_dir).select("doc_id", F.inline(hits.pattern_hits(F.col("flat"), DEFAULT, only))))
+    return lambda spark, sf_dir: shown(hits.rows(ready(spark, sf_dir), hits.pattern_hits(F.col("flat"), DEFAULT, only)))
 
 
 for _name in ("value_unit", "bracket_unit_value", "unit_value", "bracket_unit_near_value"):
@@ -131,11 +131,11 @@ named("regex_extract", pattern_query(None))
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = ready(spark, sf_dir).select("doc_id", sentences(F.col("flat")).alias("ss"))
     one = F.transform("ss", lambda s, i: F.struct(i.cast("long").alias("pos"), s.alias("sentence"), F.concat_ws(" ", s, F.get("ss", i + 1)).alias("window_text")))
-    return split.select("doc_id", F.inline(one))
+    return split.select("doc_id", F.inline_outer(one)).where("pos IS NOT NULL")
 
 
 def sentence_query(strong: bool, weak: bool):
-    return lambda spark, sf_dir: shown(ready(spark, sf_dir).select("doc_id", F.inline(hits.sentence_hits(F.col("flat"), DEFAULT, strong, weak))))
+    return lambda spark, sf_dir: shown(hits.rows(ready(spark, sf_dir), hits.sentence_hits(F.col("flat"), DEFAULT, strong, weak)))
 
 
 named("nlp_strong", sentence_query(True, False))
@@ -156,7 +156,7 @@ def plain_filter_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def plain_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(ready(spark, sf_dir).select("doc_id", F.inline(hits.line_hits(F.col("text"), DEFAULT))))
+    return shown(hits.rows(ready(spark, sf_dir), hits.line_hits(F.col("text"), DEFAULT)))
 
 
 @query
@@ -167,7 +167,7 @@ def grid_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def grid_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(ready(spark, sf_dir).select("doc_id", F.inline(hits.cell_hits(F.col("tables"), DEFAULT))), "reported_unit")
+    return shown(hits.rows(ready(spark, sf_dir), hits.cell_hits(F.col("tables"), DEFAULT)), "reported_unit")
 
 
 def norm_query(source: str):
@@ -201,7 +201,7 @@ def candidates_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each extractor's candidates on their own, brought together."""
     ready_ = ready(spark, sf_dir)
     each = [hits.cell_hits(F.col("tables"), DEFAULT), hits.line_hits(F.col("text"), DEFAULT), hits.pattern_hits(F.col("flat"), DEFAULT), hits.sentence_hits(F.col("flat"), DEFAULT)]
-    return scored(fuse.union([candidates(ready_.select("doc_id", F.inline(e)), DEFAULT) for e in each]))
+    return scored(fuse.union([candidates(hits.rows(ready_, e), DEFAULT) for e in each]))
 
 
 @query
@@ -223,7 +223,7 @@ def missing_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def llm_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = final(spark, sf_dir).persist()  # read twice
+    results = final(spark, sf_dir)
     filled = fuse.backfill(results, fuse.answered(stub(results), DEFAULT))
     return plain(filled).select("doc_id", "code", "value", "unit", "confidence", "source", "status")
 
@@ -279,7 +279,7 @@ def kpi_cross_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit conversion by a join with the conversion table."""
-    found = ready(spark, sf_dir).select("doc_id", F.inline(hits.pattern_hits(F.col("flat"), DEFAULT)))
+    found = hits.rows(ready(spark, sf_dir), hits.pattern_hits(F.col("flat"), DEFAULT))
     dim = F.broadcast(unit_dimension(spark))  # thirteen fixed rows
     return found.join(dim, unit_token_wide(F.col("raw_unit")) == dim["token"], "left").select("doc_id", "code", "raw_unit", "canonical", F.coalesce("factor", F.lit(1.0)).alias("factor"))
 
