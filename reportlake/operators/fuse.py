@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportlake.functions.scores import priority
 from reportlake.functions.text import unfenced
 from reportlake.operators.normalise import candidates
-from reportlake.plans.catalogue import NOT_REPORTED, SOURCES, Kpi
+from reportlake.plans.catalogue import HIT, NOT_REPORTED, SOURCES, Kpi
 
 CHOSEN = ("value", "unit", "confidence", "source", "score")
 
@@ -23,7 +23,7 @@ def union(sources: list[DataFrame]) -> DataFrame:
 
 def best(cands: DataFrame) -> DataFrame:
     """The candidate of each (doc_id, ord, code) with the highest score, then priority."""
-    rank = F.struct(F.coalesce(F.col("score.score"), F.lit(0.0)), priority(F.col("source")))
+    rank = F.struct(F.when(F.col("source").isNull(), -1.0).otherwise(F.coalesce(F.col("score.score"), F.lit(0.0))), priority(F.col("source")))
     picked = cands.groupBy("doc_id", "ord", "code").agg(F.max_by(F.struct(*CHOSEN), rank).alias("b"))
     return picked.select("doc_id", "ord", "code", *[F.col(f"b.{c}").alias(c) for c in CHOSEN])
 
@@ -34,14 +34,13 @@ def best_by_window(cands: DataFrame) -> DataFrame:
     return cands.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("doc_id", "ord", "code", *CHOSEN)
 
 
-def with_absent(hits: DataFrame, kpis: tuple[Kpi, ...], docs: DataFrame) -> DataFrame:
-    """Hits and, for every report and indicator, a row without a source that loses to any hit: completion without a join."""
-    absent = docs.select("doc_id", F.inline(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(k.code).alias("code")) for i, k in enumerate(kpis)])))
-    return hits.unionByName(absent, allowMissingColumns=True)
+def absent(kpis: tuple[Kpi, ...]) -> Column:
+    """For every indicator a hit without a source, which loses to any other: completion without a join or a second scan."""
+    return F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(k.code).alias("code"), *[F.lit(None).cast("string").alias(c) for c in ("source", "raw_value", "raw_unit", "reported_unit")], F.lit(None).cast("double").alias("confidence")).cast(HIT) for i, k in enumerate(kpis)])
 
 
 def complete(chosen: DataFrame, docs: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Every report with every indicator; for cross-checks of with_absent."""
+    """Every report with every indicator; for cross-checks of absent."""
     every = docs.select("doc_id").crossJoin(F.broadcast(dimension.select("ord", "code")))
     return every.join(chosen, ["doc_id", "ord", "code"], "left")
 
@@ -54,7 +53,7 @@ def shaped(chosen: DataFrame) -> DataFrame:
         "ord",
         "code",
         "value",
-        "unit",
+        F.when(F.col("source").isNotNull(), F.col("unit")).alias("unit"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
         F.when(F.col("source").isNull(), none).otherwise(F.array("source")).alias("source"),
         F.lit(NOT_REPORTED).alias("status"),

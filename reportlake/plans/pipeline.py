@@ -47,9 +47,9 @@ def raw_hits(reports: DataFrame, kpis: tuple[Kpi, ...] = DEFAULT, extractors: tu
 
 
 def extract_kpis(reports: DataFrame, kpis: tuple[Kpi, ...] = DEFAULT, *, llm: Callable[[str], str | None] | None = None, extractors: tuple[Extractor, ...] = EXTRACTORS) -> DataFrame:
-    """One row for each report and indicator. A language model is asked only where a client is passed, and only for reports that miss something."""
-    found = fuse.with_absent(candidates(raw_hits(reports, kpis, extractors), kpis), kpis, reports)
-    results = fuse.shaped(fuse.best(found))
+    """One row for each report and indicator. A language model is asked only where a client is passed, and only for reports that miss something; the reports are then read three times, so store what a costly reader gives first."""
+    found = hits.rows(prepared(reports), F.concat(*[e.of(kpis) for e in extractors], fuse.absent(kpis)))
+    results = fuse.shaped(fuse.best(candidates(found, kpis)))
     if llm is None:
         return results
     open_ = fuse.missing(results).select("doc_id").distinct()
