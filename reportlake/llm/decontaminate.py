@@ -2,14 +2,15 @@
 
 A benchmark item and every window of a document of the item's size in words
 are multisets of five-word shingles, and the item is found in the window if
-100 * sum of minima >= 75 * sum of maxima over their shingle counts. Windows are
-aligned with the item: one starts wherever a shingle of the document puts the
-item's start, so a window without a shared shingle, which cannot be similar,
-is never made. Each window's and item's SimHash (a sign for each of 64 bits,
+100 * sum of minima >= 75 * sum of maxima over their shingle counts. The sum of
+minima is at most the number of positions of a window whose shingle the item
+has, so windows that hold too few such positions cannot be similar and are not
+made; every other start is. Each window's and item's SimHash (a sign for each of 64 bits,
 summed over its weighted shingles) is cut into eight blocks; of two
 fingerprints within the Hamming radius, one block differs in at most
 radius // 8 bits, so joining items under all such variants of their blocks
 retrieves every item within the radius. Candidates are then verified exactly.
+Of equally similar windows, one in line with the item wins, then the first.
 
 Words are runs without white space, with A-Z lower-cased. Texts of fewer than
 five words are one shingle; texts without words, and nulls, match nothing.
@@ -84,19 +85,48 @@ def _minima(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, h: n + F.least(count(a, h), count(b, h)))
 
 
-def windows(docs: DataFrame, bench: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, item_id, start and __bag of every item-sized window that shares an aligned shingle with its item."""
-    anchors = bench.select("item_id", "__m", F.posexplode_outer("__s").alias("__o", "__h"))
-    anchors = broadcast_if_small(anchors, SMALL)
+def _aligned(bag: Column, item: Column, start: Column, last: Column) -> Column:
+    """Whether a shared shingle puts the item's start at the window's, or beyond the document's end that the window touches."""
+
+    def same(k: Column) -> Column:
+        ahead = F.array_contains(F.slice(bag, 1, k + 1), F.get(item, k)) & (start == 0)
+        behind = F.array_contains(F.slice(bag, k + 1, F.size(bag)), F.get(item, k)) & (start >= last)
+        return (F.get(bag, k) == F.get(item, k)) | ahead | behind
+
+    return F.coalesce(F.exists(F.sequence(F.lit(0), F.size(item) - 1), same), F.lit(False))
+
+
+def starts(at: Column, m: Column, n: Column, need: Column) -> Column:
+    """Every start of a window of m of n shingles that holds `need` or more of the sorted positions, once each."""
+    last = F.greatest(n - m, F.lit(0))
+
+    def run(i: Column) -> Column:
+        # windows that hold the positions from i on, but not the one before i
+        low = F.greatest(F.get(at, i + need - 1) - m + 1, F.coalesce(F.get(at, i - 1) + 1, F.lit(0)), F.lit(0))
+        high = F.least(F.get(at, i), last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - need), run))
+
+
+def windows(docs: DataFrame, bench: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, item_id, start, __n and __bag of every item-sized window that holds enough shingles of its item to be similar."""
+    shared = bench.select("item_id", "__m", F.explode_outer(F.array_distinct("__s")).alias("__h"))
+    shared = broadcast_if_small(shared, SMALL)
     bags = _hashed(docs, doc_id, text, "doc_id")
-    placed = bags.select("doc_id", F.size("__s").alias("__n"), F.posexplode_outer("__s").alias("__p", "__h")).join(anchors, "__h")
-    start = F.greatest(F.lit(0), F.least(F.col("__p") - F.col("__o"), F.col("__n") - F.col("__m")))
-    starts = placed.select("doc_id", "item_id", "__m", start.alias("start")).distinct()
-    by_doc = starts.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "__m", "start")).alias("__at")).withColumnRenamed("doc_id", "__doc")
-    by_doc = save(docs.sparkSession, by_doc, "aligned")
+    placed = bags.select("doc_id", F.size("__s").alias("__n"), F.posexplode_outer("__s").alias("__p", "__h")).join(shared, "__h")
+    held = placed.groupBy("doc_id", "item_id", "__m", "__n").agg(F.array_sort(F.collect_set("__p")).alias("__ps"))
+    # sum of minima <= positions held, so 100 * minima >= similarity * (both - minima) asks for this many
+    both = F.least("__m", "__n") + F.col("__m")
+    need = F.greatest(F.ceil(similarity * both / (100 + similarity)).cast("int"), F.lit(1))
+    held = held.withColumn("__need", need).where(F.size("__ps") >= F.col("__need"))
+    made = held.select("doc_id", "item_id", "__m", "__n", starts(F.col("__ps"), F.col("__m"), F.col("__n"), F.col("__need")).alias("__at")).where(F.size("__at") > 0)
+    by_doc = made.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "__m", "__n", "__at")).alias("__of")).withColumnRenamed("doc_id", "__doc")
+    by_doc = save(docs.sparkSession, by_doc, "held")
     joined = bags.join(broadcast_if_small(by_doc, SMALL // 10), F.col("doc_id").eqNullSafe(F.col("__doc")))
-    one = joined.select("doc_id", "__s", F.inline("__at"))
-    return one.select("doc_id", "item_id", "start", F.slice("__s", F.col("start") + 1, F.col("__m")).alias("__bag"))
+    of = joined.select("doc_id", "__s", F.inline("__of")).where(F.size("__s") == F.col("__n"))
+    one = of.select("doc_id", "item_id", "__m", "__n", "__s", F.explode("__at").alias("start"))
+    return one.select("doc_id", "item_id", "start", "__n", F.slice("__s", F.col("start") + 1, F.col("__m")).alias("__bag"))
 
 
 def find(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", similarity: int = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -107,13 +137,15 @@ def find(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id:
     near = F.explode(F.array(*[F.lit(v) for v in variants(radius)]))
     index = prints.select("*", near.alias("__d")).select("*", F.posexplode(F.array(*[_block(F.col("__fi"), k) for k in range(BLOCKS)])).alias("__k", "__v"))
     index = index.select("item_id", "__item", "__fi", "__k", F.col("__v").bitwiseXOR(F.col("__d")).alias("__v"))
-    made = windows(docs, bench, doc_id=doc_id, text=text).withColumn("__f", fingerprint(F.col("__bag")))
+    made = windows(docs, bench, doc_id=doc_id, text=text, similarity=similarity).withColumn("__f", fingerprint(F.col("__bag")))
     probes = made.select("*", F.posexplode(F.array(*[_block(F.col("__f"), k) for k in range(BLOCKS)])).alias("__k", "__v"))
     met = probes.join(broadcast_if_small(index, SMALL), ["item_id", "__k", "__v"])
     close = met.where(F.bit_count(F.col("__f").bitwiseXOR(F.col("__fi"))) <= radius)
-    checked = close.select("doc_id", "item_id", "start", _minima(F.col("__bag"), F.col("__item")).alias("overlap"), (F.size("__bag") + F.size("__item")).alias("__both"))
+    checked = close.select("doc_id", "item_id", "start", "__bag", "__item", "__n", _minima(F.col("__bag"), F.col("__item")).alias("overlap"), (F.size("__bag") + F.size("__item")).alias("__both"))
     similar = checked.where(100 * F.col("overlap") >= similarity * (F.col("__both") - F.col("overlap")))
-    best = similar.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("overlap") / (F.col("__both") - F.col("overlap"))).alias("s"), "start", "overlap", (F.col("__both") - F.col("overlap")).alias("total"))).alias("b"))
+    unaligned = ~_aligned(F.col("__bag"), F.col("__item"), F.col("start"), F.col("__n") - F.size("__item"))
+    similar = similar.select("doc_id", "item_id", "start", "overlap", "__both", unaligned.alias("__u"))
+    best = similar.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("overlap") / (F.col("__both") - F.col("overlap"))).alias("s"), "__u", "start", "overlap", (F.col("__both") - F.col("overlap")).alias("total"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.start").cast("long").alias("start"), F.col("b.overlap").cast("long").alias("overlap"), F.col("b.total").cast("long").alias("total"))
 
 
