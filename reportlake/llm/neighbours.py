@@ -131,8 +131,13 @@ class Search:
 
     def block(self, ids: np.ndarray, x: np.ndarray) -> None:
         order = np.lexsort((ids,))
-        raw = np.ascontiguousarray(x[order]).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
+        raw = np.ascontiguousarray(x[order] + 0.0).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
         _, first, of = np.unique(raw, return_index=True, return_inverse=True)
+        _, once = np.unique(np.stack([of, ids[order]], axis=1), axis=0, return_index=True)
+        if len(once) < len(order):  # rows that repeat id and vector count once
+            once.sort()
+            place = np.cumsum(np.isin(np.arange(len(order)), once)) - 1
+            order, of, first = order[once], of[once], place[first]
         rows = unit(x[order][first])
         codes = self.index.codes(rows)
         found = np.zeros((len(rows), -(-len(self.codes) // 8)), dtype=np.uint8)
@@ -159,19 +164,31 @@ class Search:
             self.reduce()
 
     def reduce(self) -> None:
+        """Keep, once each, what can be among the best of a query that leaves out the rows of its own id."""
+        order = np.lexsort((-self.s, self.r, self.q))
+        q, s, r = self.q[order], self.s[order], self.r[order]
+        order = order[np.concatenate([[True], (q[1:] != q[:-1]) | (r[1:] != r[:-1]) | (s[1:] != s[:-1])])[: len(q)]]
+        q, r = self.q[order], self.r[order]
+        new = np.concatenate([[True], (q[1:] != q[:-1]) | (r[1:] != r[:-1])])[: len(q)]
+        group = np.cumsum(new) - 1
+        order = order[np.arange(len(q)) - np.flatnonzero(new)[group] < self.best]  # rows of one id
+        self.q, self.s, self.r = self.q[order], self.s[order], self.r[order]
         order = np.lexsort((self.r, -self.s, self.q))
         q = self.q[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        order = order[rank <= self.best]
+        order = order[np.arange(len(q)) - np.searchsorted(q, q) < 2 * self.best]
         self.q, self.s, self.r = self.q[order], self.s[order], self.r[order]
 
     def result(self) -> pd.DataFrame:
         self.reduce()
         start, end = np.searchsorted(self.q, self.of), np.searchsorted(self.q, self.of, side="right")
         times = end - start
+        row = np.repeat(np.arange(len(times)), times)
         at = np.repeat(start, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        out = pd.DataFrame({"query_id": np.repeat(self.ids, times), "vec_id": self.r[at], "score": self.s[at]})
-        return out[out["query_id"] != out["vec_id"]]
+        other = self.ids[row] != self.r[at]
+        row, at = row[other], at[other]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < self.best
+        row, at = row[best], at[best]
+        return pd.DataFrame({"query_id": self.ids[row], "vec_id": self.r[at], "score": self.s[at]})
 
 
 def search(rows: DataFrame, index: Index, queries: pd.DataFrame, radius: int, best: int) -> DataFrame:

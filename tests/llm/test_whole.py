@@ -4,11 +4,10 @@ import random
 from collections import Counter
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 import brute  # noqa: E402
-from reportlake.llm import decontaminate
+from reportlake.llm import decontaminate, neighbours
 from test_operators import docs_of, text_of
 
 # ---- 7
@@ -41,3 +40,21 @@ def test_decontamination_compares_windows_that_no_shingle_aligns(spark):
     want = {(d, i): m for d, t in enumerate(texts) for i, x in enumerate(bench) if 100 * (m := most_similar(t, x))[0] >= 75 * m[1]}
     got = {(r.doc_id, r.item_id): (r.overlap, r.total) for r in decontaminate.find(docs_of(spark, texts), items).collect()}
     assert {(0, 0), (1, 1)} <= set(want) and got == want
+
+# ---- 4
+
+
+def test_neighbours_of_rows_repeated_often(spark):
+    schema, rng = "vec_id long, embedding array<double>", np.random.default_rng(4)
+    x = rng.normal(size=(6, 8)) + 3 * np.eye(8)[0]
+    x[1] = x[0]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = [k for k in np.lexsort((np.arange(6), -np.round(u @ u[0], 12))).tolist() if k != 0][:5]
+    for often in (0, want[0], want[1]):  # the query's own row, one that equals it, another near one
+        rows = [(i, v.tolist()) for i, v in enumerate(x) for _ in range(10 if i == often else 1)]
+        got = neighbours.nearest(spark.createDataFrame(rows, schema).coalesce(1), F.col("vec_id") == 0).toPandas().sort_values("rank")
+        assert got["vec_id"].tolist() == want and got["rank"].tolist() == [1, 2, 3, 4, 5]
+    # a query's id under ten vectors hides no other row
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, (x[0] + d * np.eye(8)[1]).tolist()) for d in np.arange(1, 10) / 1000]
+    got = neighbours.nearest(spark.createDataFrame(rows, schema).coalesce(1), F.col("vec_id") == 0).toPandas()
+    assert set(got["query_id"]) == {0} and got["rank"].max() == 5 and 0 not in set(got["vec_id"])
