@@ -45,6 +45,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+WRITTEN_OUT = re.compile(r"(?i)(?<![a-z])at(?![a-z]).*(?:\.|(?<![a-z])dot(?![a-z]))", re.S)
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -115,15 +116,15 @@ def examples(n: int, length: int, rng: np.random.Generator) -> tuple[np.ndarray,
         return w + (rng.choice([".", ",", "%%%", "***", "$$$", "&&&", "###", "!!", " |"], p=[0.4, 0.35, 0.03, 0.03, 0.03, 0.03, 0.03, 0.05, 0.05]) if rng.random() < 0.2 else "")
 
     digits, hexes, mixed = "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    host = lambda: f"{some(LOWER, 3, 8)}{some(digits, 0, 1)}.{some(LOWER, 2, 7)}.{rng.choice(['com', 'org', 'net', 'de', 'fr'])}"
-    name = lambda: some(LOWER, 2, 8) + rng.choice(["", ".", "_"]) + some(digits + LOWER, 1, 3)
+    host = lambda: f"{some(LOWER, 3, 8)}{some(digits, 0, 1)}{rng.choice(['', '.' + some(LOWER, 2, 7)])}.{rng.choice(['com', 'org', 'net', 'de', 'fr'])}"
+    name = lambda: some(LOWER, 2, 8) + rng.choice(["", ".", "_"]) + rng.choice([some(digits + LOWER, 1, 3), some(LOWER, 2, 8)])
     parts = lambda sep, low, high, k: sep.join(some(digits, low, high) for _ in range(k))
     makers = {
         1: [lambda: f"{name()}@{host()}", lambda: f"{name()} (at) {host()}", lambda: f"{name()} [at] {host()}"],
         2: [lambda: ".".join(str(rng.integers(1, 256)) for _ in range(4))],
         3: [lambda: "4" + some(digits, 15, 15), lambda: parts(" ", 4, 4, 4), lambda: parts("-", 4, 4, 4), lambda: parts(".", 4, 4, 4)],
         4: [lambda: f"+{some(digits, 1, 2)} ({some(digits, 3, 3)}) {some(digits, 3, 3)}-{some(digits, 4, 4)}", lambda: f"({some(digits, 3, 3)}) {some(digits, 3, 3)}-{some(digits, 4, 4)}", lambda: parts("-", 3, 3, 2) + "-" + some(digits, 4, 4)],
-        5: [lambda: "AKIA" + some(mixed, 16, 16), lambda: f"password={some(hexes, 12, 20)}", lambda: f'token = "{some(hexes, 32, 40)}"'],
+        5: [lambda: "AKIA" + some(mixed, 16, 16), lambda: f"password={some(hexes, 12, 20)}", lambda: f"password={some(LOWER, 8, 20)}", lambda: f'token = "{some(hexes, 32, 40)}"', lambda: f'token = "{some(LOWER, 16, 40)}"'],
     }
     others = [lambda: some(digits, 1, 6), lambda: f"{some(digits, 1, 2)}.{some(digits, 1, 2)}", lambda: f"{some(digits, 1, 3)},{some(digits, 3, 3)}", lambda: f"20{some(digits, 2, 2)}-{some(digits, 2, 2)}-{some(digits, 2, 2)}", lambda: f"Version {some(digits, 1, 1)}.0", lambda: f"https://www.{host()}/{some(LOWER, 2, 5)}", lambda: f"({word()})", lambda: f'"{word()}"', lambda: f"{word()}:", lambda: f"{word()}={some(LOWER, 2, 6)}"]
     x, y = np.zeros((n, length), dtype=np.uint8), np.zeros((n, length), dtype=np.uint8)
@@ -379,7 +380,10 @@ def label_texts(p: dict[str, np.ndarray], texts: list[str]) -> dict[int, np.ndar
 
 
 def plausible(kind: int, piece: str) -> bool:
-    """What a pattern's own test would drop, such as a card number that fails its check digit, is not added either."""
+    """What a pattern's own test would drop, such as a card number that fails its check digit, is not added either.
+
+    An address needs an @, a written-out at with a dot after it, or a digit; a secret is taken as the network reads it.
+    """
     digits = NOT_DIGIT.sub("", piece)
     if KINDS[kind : kind + 1] == ("card",):
         return 12 <= len(digits) <= 19 and luhn(digits)
@@ -388,7 +392,7 @@ def plausible(kind: int, piece: str) -> bool:
         return len(parts) == 4 and all(int(x[:9]) <= 255 for x in parts)
     if KINDS[kind : kind + 1] == ("phone",):
         return 9 <= len(digits) <= 15
-    return bool(digits) or "@" in piece
+    return KINDS[kind : kind + 1] != ("email",) or bool(digits) or "@" in piece or WRITTEN_OUT.search(piece) is not None
 
 
 def added_spans(text: str, labels: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

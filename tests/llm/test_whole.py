@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import brute  # noqa: E402
-from reportlake.llm import decontaminate, neighbours
+from reportlake.llm import decontaminate, neighbours, pii
 from test_operators import docs_of, text_of
 
 # ---- 7
@@ -58,3 +58,15 @@ def test_neighbours_of_rows_repeated_often(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, (x[0] + d * np.eye(8)[1]).tolist()) for d in np.arange(1, 10) / 1000]
     got = neighbours.nearest(spark.createDataFrame(rows, schema).coalesce(1), F.col("vec_id") == 0).toPandas()
     assert set(got["query_id"]) == {0} and got["rank"].max() == 5 and 0 not in set(got["vec_id"])
+
+# ---- 1
+
+
+def test_pii_adds_addresses_and_passwords_without_a_digit(spark):
+    rng = random.Random(31)
+    held = {"john.doe (at) example.com": "email", "anna [at] site.org": "email", "password=correcthorse": "secret"}
+    texts = [text_of(rng, 12) + " " + x + " " + text_of(rng, 12) for x in held]
+    rows = pii.find(docs_of(spark, texts)).orderBy("doc_id").collect()
+    got = [[(s.kind, t[s.start : s.end], s.base) for s in r.spans] for r, t in zip(rows, texts)]
+    assert got == [[(kind, x, False)] for x, kind in held.items()]
+    assert not pii.plausible(0, "wordat.word") and not pii.plausible(0, "thinanat")
