@@ -32,15 +32,40 @@ RATE = 0.5
 TRAINING_ROWS = 3000  # labelled rows at most that are learned from
 THRESHOLD = 0.3
 SEED = 7
+LONG = 64  # bytes; longer words are added up in pieces and not kept
+PIECE = 1 << 16  # n-grams of a long word that are added up together
 
 
 def buckets(word: bytes, size: int = BUCKETS) -> list[int]:
     """The word's own bucket and those of its character (byte) 3- and 4-grams, with marks at both ends."""
-    crc, marked = zlib.crc32, b"<" + word[:64] + b">"
+    crc, marked = zlib.crc32, b"<" + word + b">"
     n = len(marked)
     return [crc(word) % size, *[crc(marked[i : i + 3]) % size for i in range(n - 2)], *[crc(marked[i : i + 4]) % size for i in range(n - 3)]]
 
 
+def crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+CRC = crc_table()
+
+
+def pieces(word: bytes, size: int = BUCKETS) -> Iterator[np.ndarray]:
+    """buckets() of a long word, in parts of bounded size."""
+    yield np.array([zlib.crc32(word) % size])
+    marked = np.frombuffer(b"<" + word + b">", dtype=np.uint8)
+    for n in (3, 4):
+        for at in range(0, len(marked) - n + 1, PIECE):
+            part = marked[at : at + PIECE + n - 1]
+            crc = np.full(len(part) - n + 1, 0xFFFFFFFF, dtype=np.uint32)
+            for k in range(n):
+                crc = CRC[(crc ^ part[k : k + len(crc)]) & 255] ^ (crc >> 8)
+            yield ((crc ^ np.uint32(0xFFFFFFFF)) % size).astype(np.int64)
+
+
 @dataclass
 class Model:
     vectors: np.ndarray  # a vector for each bucket
@@ -60,6 +85,11 @@ def train(texts: list[str | None], labels: list[int], *, size: int = BUCKETS, ep
     for text in texts:
         counts: Counter = Counter()
         for w, c in Counter((text or "").encode().split()).items():
+            if len(w) > LONG:
+                for piece in pieces(w, size):
+                    for b, times in zip(*(x.tolist() for x in np.unique(piece, return_counts=True))):
+                        counts[b] += c * times
+                continue
             if w not in known:
                 known[w] = buckets(w, size)
             for b in known[w]:
@@ -86,8 +116,13 @@ def train(texts: list[str | None], labels: list[int], *, size: int = BUCKETS, ep
 
 
 def score_texts(texts: list[str | None], margin: np.ndarray, bias: float, known: WordRows) -> np.ndarray:
-    """Scores; known keeps each word's log-odds and number of buckets between calls."""
+    """Scores; known keeps each word's log-odds and number of buckets between calls, but for long words."""
     runs = [t.encode().split() if t else [] for t in texts]
+    long: dict[int, np.ndarray] = {}
+    for i, r in enumerate(runs):
+        if max(map(len, r), default=0) > LONG:
+            long[i] = sum(c * np.array([margin[b].sum(), len(b)]) for w, c in Counter(w for w in r if len(w) > LONG).items() for b in pieces(w, len(margin)))
+            runs[i] = [w for w in r if len(w) <= LONG]
     if new := known.new(runs):
         found = [buckets(w, len(margin)) for w in new]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -95,8 +130,8 @@ def score_texts(texts: list[str | None], margin: np.ndarray, bias: float, known:
         known.add(new, np.stack([np.add.reduceat(flat, np.cumsum(sizes) - sizes), sizes], axis=1))
     out = np.full(len(texts), bias)
     for i, r in enumerate(runs):
-        if r:
-            total, n = known.sum(r)
+        if r or i in long:
+            total, n = known.sum(r) + long.get(i, 0.0)
             out[i] += total / n
     return 1 / (1 + np.exp(-out))
 

@@ -7,7 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import brute  # noqa: E402
-from reportlake.llm import decontaminate, neighbours, pii
+from reportlake.llm import decontaminate, neighbours, pii, quality
+from reportlake.llm.common import WordRows
 from test_operators import docs_of, text_of
 
 # ---- 7
@@ -70,3 +71,19 @@ def test_pii_adds_addresses_and_passwords_without_a_digit(spark):
     got = [[(s.kind, t[s.start : s.end], s.base) for s in r.spans] for r, t in zip(rows, texts)]
     assert got == [[(kind, x, False)] for x, kind in held.items()]
     assert not pii.plausible(0, "wordat.word") and not pii.plausible(0, "thinanat")
+
+# ---- 10
+
+
+def test_quality_reads_long_words_to_their_end():
+    rng = random.Random(10)
+    word = "".join(rng.choice("abcé漢") for _ in range(90_000)).encode()
+    assert sorted(quality.buckets(word)) == np.sort(np.concatenate(list(quality.pieces(word)))).tolist()
+    good, bad = (["x" * 64 + "".join(rng.choice(letters) for _ in range(200)) for _ in range(30)] for letters in ("abcd", "mnop"))
+    model = quality.train(good[:20] + bad[:20], [1] * 20 + [0] * 20)
+    margin, bias = model.margins()
+    scores = quality.score_texts(good[20:] + bad[20:], margin, bias, WordRows(2))
+    assert scores[:10].min() > scores[10:].max() + 0.2
+    text = "some words " + good[25] + " more " + good[25]
+    ids = [b for w in text.encode().split() for b in quality.buckets(w)]
+    assert abs(quality.score_texts([text], margin, bias, WordRows(2))[0] - 1 / (1 + np.exp(-bias - margin[ids].mean()))) < 1e-12
