@@ -27,7 +27,7 @@ from reportlake.llm.common import WordRows, bounded_sample
 ORDERS = (5, 4, 3, 2, 1)
 TRAINING_ROWS = 3000  # labelled rows at most that are learned from
 LEAST = 2  # a word or n-gram seen less often is unknown
-LONGEST = 48  # characters of an unseen word's n-grams that are looked up at most from either end
+PIECE = 1 << 16  # n-grams of an unseen word that are looked up together
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -41,12 +41,14 @@ class Model:
         if (known := self.words.get(word)) is not None:
             return known
         marked = f"<{word}>"
-        if len(marked) > 2 * LONGEST:
-            marked = marked[:LONGEST] + marked[-LONGEST:]
         for n in ORDERS:
-            found = [g for i in range(len(marked) - n + 1) if (g := self.grams.get(marked[i : i + n])) is not None]
+            total, found = np.zeros(len(self.languages)), 0
+            for at in range(0, len(marked) - n + 1, PIECE):
+                part = [g for i in range(at, min(at + PIECE, len(marked) - n + 1)) if (g := self.grams.get(marked[i : i + n])) is not None]
+                if part:
+                    total, found = total + np.sum(part, axis=0), found + len(part)
             if found:
-                return np.mean(found, axis=0)
+                return total / found
         return np.zeros(len(self.languages))
 
 

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import brute  # noqa: E402
-from reportlake.llm import decontaminate, neighbours, pii, quality
+from reportlake.llm import decontaminate, language, neighbours, pii, quality
 from reportlake.llm.common import WordRows
 from test_operators import docs_of, text_of
 
@@ -87,3 +87,11 @@ def test_quality_reads_long_words_to_their_end():
     text = "some words " + good[25] + " more " + good[25]
     ids = [b for w in text.encode().split() for b in quality.buckets(w)]
     assert abs(quality.score_texts([text], margin, bias, WordRows(2))[0] - 1 / (1 + np.exp(-bias - margin[ids].mean()))) < 1e-12
+
+# ---- 8
+
+
+def test_language_reads_the_middle_of_long_words():
+    model = language.train([("aaaaa aaaaab", "a"), ("aaaaa aaaaab", "a"), ("bcbcb cbcbc", "b"), ("bcbcb cbcbc", "b")])
+    word = "a" * 60 + "bc" * 200_000 + "a" * 60
+    assert model.languages[int(model.of(word).argmax())] == "b"
