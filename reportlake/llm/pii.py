@@ -4,13 +4,17 @@ The patterns give the base spans. The network reads every text in overlapping
 windows of characters and adds spans of its own: written-out addresses, numbers
 in unusual forms, and secrets such as keys, tokens and passwords. It is trained
 here, in numpy, from labelled spans that `examples` makes; its units use
-piecewise linear sigmoids. Each window is decoded by Viterbi; a character in
-the overlap of two windows takes the label of the one that sees more around it,
-and spans are read off the reconciled labels of the whole text. Windows in which
-no run of any label gains on O are not traced back: they hold none.
+piecewise linear sigmoids. A character in the overlap of two windows takes the
+emissions of the one that sees more around it, so a text has one lattice from
+end to end, whose best path Viterbi finds: a span across a seam is decoded as
+anywhere else. A path is O and runs of one label between O, so only parts of the
+lattice in which some run gains on O are traced; what runs gain is carried from
+part to part, so this loses nothing. The overlap is over twice the longest span
+of the examples.
 
 Null and empty texts hold nothing. Repeated rows are judged alike, whatever
-stands beside them; empty tables give no rows; other columns are not read.
+stands beside them; empty tables give no rows; null ids are kept as they are.
+Only texts leave the JVM, so ids are never converted and other columns not read.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS, "secret")
@@ -29,7 +34,8 @@ K = len(LABELS)
 HIDDEN = 8  # of each direction
 EMBEDDED = 6
 WINDOW = 512
-OVERLAP = 32
+OVERLAP = 128
+SIDE = OVERLAP // 2  # characters of a window, at a seam, that are the neighbour's
 ROUND = 32  # a text's last window is padded to a multiple of this
 COLUMNS = 1024  # windows that run together
 TOGETHER = 1_000_000  # characters that are cut into windows together
@@ -319,28 +325,6 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return labels
 
 
-def decode(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (columns of x) that hold labels, and their labels (time, windows)."""
-    e, tr = emissions(p, x), p["trans"]
-    # what the best run of a label that ends here adds to a path of O alone; a path with labels is a sum of such runs
-    begin, stay, end = (v[:, None] - tr[0, 0] for v in (tr[0, 1:], np.diag(tr)[1:], tr[1:, 0]))
-    gain = np.subtract(e[:, 1:], e[:, :1])
-    run = gain[0].copy()
-    most = run.copy()
-    for now in gain[1:]:
-        run += stay
-        np.maximum(run, begin, out=run)
-        run += now
-        np.maximum(most, run, out=most)
-    may = ((most + end > 0) | (run > 0)).any(0)
-    found = np.flatnonzero(may)
-    if not len(found):
-        return found, np.zeros((len(x), 0), dtype=np.uint8)
-    labels = viterbi(e[:, :, found], tr)
-    some = labels.any(0)
-    return found[some], labels[:, some]
-
-
 def windows_of(n: int) -> list[tuple[int, int]]:
     """Start and padded length of the windows of n characters."""
     step, out, at = WINDOW - OVERLAP, [], 0
@@ -352,30 +336,140 @@ def windows_of(n: int) -> list[tuple[int, int]]:
         at += step
 
 
+def gains(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What runs of a label add to a path of O alone, in parts of lattices (time, label, parts).
+
+    For each label but O and each part: the sum of going on through the part,
+    the best run that ends at its last character and begins in it, the best that
+    ends anywhere in it and begins in it, and the most that going on adds up to
+    some character. Beginnings are counted, ends are not.
+    """
+    begin, stay = ((v - trans[0, 0])[:, None] for v in (trans[0, 1:], np.diag(trans)[1:]))
+    gain = e[:, 1:] - e[:, :1]
+    on = gain + stay
+    through = np.cumsum(on, axis=0)
+    run = gain[0] + begin
+    most = run.copy()
+    for now in gain[1:]:
+        run = np.maximum(run + stay, begin)
+        run += now
+        np.maximum(most, run, out=most)
+    return through[-1], run, most, through.max(axis=0)
+
+
+def parts_to_trace(of: np.ndarray, part: np.ndarray, found: tuple[np.ndarray, ...], end: np.ndarray) -> np.ndarray:
+    """Which parts hold characters of a run that gains on O. of: text of each part; part: its number in the text; found: gains() of the parts, labels first."""
+    through, last, most, up = found
+    keep = np.zeros(len(of), dtype=bool)
+    state = np.full((len(end), of.max() + 1), -np.inf)  # the best run that ends where the part begins
+    since = np.zeros(state.shape, dtype=np.int64)  # and the part it begins in
+    place = {}
+    for n in range(part.max() + 1):
+        here = np.flatnonzero(part == n)
+        texts = of[here]
+        place[n] = dict(zip(texts.tolist(), here.tolist()))
+        keep[here] |= (most[:, here] + end[:, None] > 0).any(axis=0)
+        crossing = state[:, texts] + up[:, here] + end[:, None] > 0
+        for label, k in zip(*np.nonzero(crossing)):
+            for m in range(since[label, texts[k]], n + 1):
+                keep[place[m][int(texts[k])]] = True
+        on = state[:, texts] + through[:, here]
+        begun = last[:, here] >= on
+        state[:, texts] = np.maximum(on, last[:, here])
+        since[:, texts] = np.where(begun, n, since[:, texts])
+    return keep
+
+
+Part = tuple[int, int, int, int, int, int]  # text, number in the text, start and length of its window, and where the part begins and ends in that
+
+
+def parts_of(seen: list[np.ndarray]) -> list[Part]:
+    out = []
+    for i, s in enumerate(seen):
+        windows = windows_of(len(s)) if len(s) else []
+        for n, (at, length) in enumerate(windows):
+            final = n == len(windows) - 1
+            out.append((i, n, at, length, SIDE if n else 0, len(s) - at if final else WINDOW - SIDE))
+    return out
+
+
+def part_emissions(p: dict[str, np.ndarray], seen: list[np.ndarray], some: list[Part]) -> np.ndarray:
+    """Emissions (time, label, parts) of the windows of parts of one length; beyond a part's end there is O."""
+    length = some[0][3]
+    x = np.full((len(some), length), PAD, dtype=np.uint8)
+    for row, (i, _, at, _, _, _) in zip(x, some):
+        piece = seen[i][at : at + length]
+        row[: len(piece)] = piece
+    e = emissions(p, np.ascontiguousarray(x.T))
+    high = np.array([part[5] for part in some])
+    if high.min() < length:
+        after = np.arange(length)[:, None] >= high
+        e[:, 0][after] = 0
+        e[:, 1:] = np.where(after[:, None], np.float32(-1e4), e[:, 1:])
+    return e
+
+
+def together(parts: list[Part], places: list[int]) -> Iterator[list[int]]:
+    """Places of parts that run together: of windows of one length, beginning at one place in them, and ending at one place unless their texts end there."""
+    groups: dict[tuple[int, int, bool], list[int]] = {}
+    for k in places:
+        groups.setdefault((parts[k][3], parts[k][4], parts[k][5] == WINDOW - SIDE), []).append(k)
+    for group in groups.values():
+        for at in range(0, len(group), COLUMNS):
+            yield group[at : at + COLUMNS]
+
+
+def to_trace(p: dict[str, np.ndarray], seen: list[np.ndarray], parts: list[Part]) -> np.ndarray:
+    """Which parts of the lattices hold characters of a run that gains on O."""
+    found = np.empty((4, K - 1, len(parts)), dtype=np.float32)
+    for some in together(parts, list(range(len(parts)))):
+        e = part_emissions(p, seen, [parts[k] for k in some])
+        found[:, :, some] = gains(e[parts[some[0]][4] : max(parts[k][5] for k in some)], p["trans"])
+    of, number = (np.array([part[c] for part in parts]) for c in (0, 1))
+    return parts_to_trace(of, number, tuple(found), p["trans"][1:, 0] - p["trans"][0, 0])
+
+
+def trace(p: dict[str, np.ndarray], pieces: list[np.ndarray]) -> list[np.ndarray]:
+    """The best labels of pieces of lattices (time, label) that stand between O."""
+    out: list[np.ndarray] = [np.zeros(0, dtype=np.uint8)] * len(pieces)
+    order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+    at = 0
+    while at < len(order):
+        size = -(-(len(pieces[order[at]]) + 2) // ROUND) * ROUND
+        some = [i for i in order[at : at + COLUMNS] if len(pieces[i]) + 2 <= size]
+        e = np.full((size, K, len(some)), -1e4, dtype=np.float32)
+        e[:, 0] = 0
+        for col, i in enumerate(some):
+            e[1 : 1 + len(pieces[i]), :, col] = pieces[i]
+        labels = viterbi(e, p["trans"])
+        for col, i in enumerate(some):
+            out[i] = labels[1 : 1 + len(pieces[i]), col]
+        at += len(some)
+    return out
+
+
 def label_texts(p: dict[str, np.ndarray], texts: list[str]) -> dict[int, np.ndarray]:
-    """For each text (by place) with any label, its characters' labels."""
-    by_length: dict[int, list[tuple[int, int]]] = {}
+    """For each text (by place) with any label, its characters' labels: the best path of its whole lattice."""
     seen = [classes(t) for t in texts]
-    for i, s in enumerate(seen):
-        if len(s):
-            for at, length in windows_of(len(s)):
-                by_length.setdefault(length, []).append((i, at))
+    parts = parts_of(seen)
+    if not parts:
+        return {}
+    kept = np.flatnonzero(to_trace(p, seen, parts)).tolist()
+    lattice: dict[int, np.ndarray] = {}
+    for some in together(parts, kept):
+        e = part_emissions(p, seen, [parts[k] for k in some])
+        lattice |= {k: e[parts[k][4] : parts[k][5], :, col].copy() for col, k in enumerate(some)}
+    runs: list[list[int]] = []
+    for k in kept:  # parts side by side are traced as one
+        if runs and runs[-1][-1] == k - 1 and parts[k][1]:
+            runs[-1].append(k)
+        else:
+            runs.append([k])
     out: dict[int, np.ndarray] = {}
-    for length, places in by_length.items():
-        for k in range(0, len(places), COLUMNS):
-            part = places[k : k + COLUMNS]
-            x = np.full((len(part), length), PAD, dtype=np.uint8)
-            for row, (i, at) in zip(x, part):
-                piece = seen[i][at : at + length]
-                row[: len(piece)] = piece
-            found, labels = decode(p, np.ascontiguousarray(x.T))
-            for col, lab in zip(found.tolist(), labels.T):
-                i, at = part[col]
-                n = len(seen[i])
-                mine = out.setdefault(i, np.zeros(n, dtype=np.uint8))
-                left = OVERLAP // 2 if at else 0
-                right = min(length, n - at) - (OVERLAP // 2 if at + length < n else 0)
-                mine[at + left : at + right] = lab[left:right]
+    for run, labels in zip(runs, trace(p, [np.concatenate([lattice[k] for k in r]) for r in runs])):
+        if labels.any():
+            i, _, at, _, low, _ = parts[run[0]]
+            out.setdefault(i, np.zeros(len(texts[i]), dtype=np.uint8))[at + low : at + low + len(labels)] = labels
     return out
 
 
@@ -416,9 +510,10 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", weights
     p = weights or trained()
     names = (*KINDS, "secret")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame["t"]]
+    @F.pandas_udf("array<struct<kind:string,start:long,end:long,base:boolean>>")
+    def spans_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            texts = [t if isinstance(t, str) else "" for t in part]
             rows, at = [], 0
             while at < len(texts):
                 end, held = at, 0
@@ -433,8 +528,6 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", weights
                         spans = sorted(spans + [(*s, False) for s in added_spans(t, labels[i], base)])
                     rows.append([{"kind": names[k], "start": s, "end": e, "base": b} for s, k, e, b in spans])
                 at = end
-            yield pd.DataFrame({"doc_id": frame["k"], "spans": rows})
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(docs[doc_id].alias("k"), docs[text].alias("t")).mapInPandas(run, f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
+            yield pd.Series(rows, dtype=object)
 
+    return docs.select(docs[doc_id].alias("doc_id"), spans_of.asNondeterministic()(docs[text]).alias("spans"))
