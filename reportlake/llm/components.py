@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from reportlake.llm.common import drop, save
 
-ROUNDS = 60
-
 
 def _noted(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The edges, written, and what tells them from others: their number and a sum of hashes, noted as they are written."""
@@ -20,12 +18,13 @@ def _noted(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, tuple]:
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """id and component of every id in links(a, b); component is the smallest id that links lead to.
 
-    Alternates large-star and small-star steps until nothing changes: each step
-    keeps at most a row a link and is written to the shared folder. Links from
-    an id to itself and nulls are ignored.
+    Alternates large-star and small-star steps until nothing changes, however
+    many that takes (about the logarithm of the longest path): each step keeps
+    at most a row a link and is written to the shared folder. Links from an id
+    to itself and nulls are ignored.
     """
     edges, was = _noted(spark, links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    for _ in range(ROUNDS):
+    while True:
         # large-star: the larger neighbours of a go to the smallest of a's neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -6,29 +6,31 @@ model knows any, down to single characters. A text's score is the share of its
 best language in the softmax of the summed scores.
 
 Null texts and texts without a letter give `und` and score 0. Repeated rows
-are judged alike; empty tables give no rows; other columns are not read. Ties
-go to the language that sorts first.
+are judged alike; empty tables give no rows; null ids are kept as they are;
+other columns are not read. Ties go to the language that sorts first. A letter is what Unicode calls
+one (category L): a number sign such as a half or a Roman numeral is none.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import WordRows, bounded_sample
+from reportlake.llm.common import WordRows, labelled_texts
 
 ORDERS = (5, 4, 3, 2, 1)
 TRAINING_ROWS = 3000  # labelled rows at most that are learned from
+TRAINING_MB = 64  # of their texts together
 LEAST = 2  # a word or n-gram seen less often is unknown
 PIECE = 1 << 16  # n-grams of an unseen word that are looked up together
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 
 
 @dataclass
@@ -103,27 +105,23 @@ def predict_texts(texts: list[str | None], model: Model, known: WordRows) -> tup
     return langs, scores
 
 
-def fit(docs: DataFrame, learn, *, rows: int = TRAINING_ROWS) -> Model:
-    """Learn from at most `rows` documents with a text and a language for which learn(id column) holds."""
-    some = docs.select(docs["doc_id"].alias("k"), docs["text"].alias("t"), docs["lang"].alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull() & learn(F.col("k")))
-    ids = bounded_sample(some.select("k").distinct(), "k", rows)
-    got = some.join(F.broadcast(ids), "k").toPandas()  # at most `rows` ids
-    return train(sorted(zip(got["t"], got["l"]), key=lambda x: (x[1], x[0])))
+def fit(docs: DataFrame, learn, *, rows: int = TRAINING_ROWS, mb: float = TRAINING_MB) -> Model:
+    """Learn from at most `rows` documents with a text and a language for which learn(id column) holds, of at most `mb` together."""
+    some = docs.where(docs["text"].isNotNull() & docs["lang"].isNotNull()).select(docs["doc_id"].alias("k"), docs["lang"].alias("y")).where(learn(F.col("k")))
+    got = labelled_texts(some, docs, rows, mb)
+    return train(sorted(zip(got["t"], got["y"]), key=lambda x: (x[1], x[0])))
 
 
-def predict(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def predict(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The id, lang_pred and score. Only texts travel to Python."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordRows(len(shared.value.languages))
-        for frame in frames:
-            texts = [x if isinstance(x, str) else None for x in frame.pop("__text")]
-            parts = [predict_texts(texts[at : at + 500], shared.value, known) for at in range(0, len(texts), 500)]
-            frame["lang_pred"] = [x for p in parts for x in p[0]]
-            frame["score"] = np.array([x for p in parts for x in p[1]], dtype=np.float64)
-            yield frame
+    @F.pandas_udf("lang_pred string, score double")
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = WordRows(len(model.languages))
+        for part in texts:
+            some = [x if isinstance(x, str) else None for x in part]
+            parts = [predict_texts(some[at : at + 500], model, known) for at in range(0, len(some), 500)]
+            yield pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": np.array([x for p in parts for x in p[1]], dtype=np.float64)})
 
-    source = docs.select(*[docs[c] for c in keep], docs["text"].alias("__text"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
-    return source.mapInPandas(run, schema)
+    found = docs.select(docs[doc_id].alias("doc_id"), judge.asNondeterministic()(docs[text]).alias("j"))
+    return found.select("doc_id", "j.lang_pred", "j.score")

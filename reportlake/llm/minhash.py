@@ -15,7 +15,8 @@ Nothing is enumerated inside a group:
   components that meet so;
 * of a bucket that still holds several components, those outside its largest
   are gathered with others like them into inverted indexes of bounded size, and
-  all members of their buckets stream past each index they share a bucket with.
+  all members of their buckets stream past each index they share a bucket with,
+  a few hundred past each copy of it, so no task gets a whole large group.
   That compares every pair that is left, exactly, and gives a link only where
   it joins two components, so no more links than documents.
 
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import drop, save
+from reportlake.llm.common import drop, drop_since, save, saved
 from reportlake.llm.components import components
 
 WIDTH = 5
@@ -46,7 +47,8 @@ SIMILARITY = 75  # in hundredths
 PERMUTATIONS = 64
 BANDS = 32
 AGREEING = 56  # of the 128 values, at least
-INDEXED = 200_000  # shingles of an index, about
+INDEXED = 100_000  # shingles of an index, about
+STREAMED = 500  # documents that meet one copy of an index
 HOPS = 2  # rounds in which documents with common buckets agree on an index
 TOGETHER = 400  # documents that meet one copy of a leader's text
 CACHE = 500_000
@@ -103,15 +105,16 @@ def min_max(s: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> tuple[np.n
 
 
 def features(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, a hash of the set (__a, __b), __keys (of the bands) and __sig (a byte a value)."""
+    """doc_id, n_shingles, a hash of the set (__a, __b), __keys (of the bands) and __sig (a byte a value). Only texts travel to Python."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_shingles long, __a long, __b long, __keys array<long>, __sig binary")
+    def hashed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words, (factors, terms) = Words(), permutations()
         j = np.arange(BANDS)
         places = np.stack([2 * j, 2 * j + 1, 64 + (2 * j + 32) % 64, 64 + (2 * j + 33) % 64])
-        for frame in frames:
+        for part in parts:
             rows = []
-            for t in frame["t"]:
+            for t in part:
                 s = shingle_set(t if isinstance(t, str) else None, words)
                 if not len(s):
                     rows.append((0, 0, 0, None, None))
@@ -122,12 +125,9 @@ def features(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     keys = mix(keys * PRIME + v[p])
                 a, b = mix(s).sum(dtype=np.uint64), mix(s + PRIME).sum(dtype=np.uint64)
                 rows.append((len(s), int(a.view(np.int64)), int(b.view(np.int64)), keys.view(np.int64), (mix(v) & np.uint64(255)).astype(np.uint8).tobytes()))
-            out = pd.DataFrame(rows, columns=["n_shingles", "__a", "__b", "__keys", "__sig"])
-            out.insert(0, "doc_id", frame["k"].astype("Int64").to_numpy(dtype=object, na_value=None) if len(frame) else [])
-            yield out
+            yield pd.DataFrame(rows, columns=["n_shingles", "__a", "__b", "__keys", "__sig"])
 
-    schema = "doc_id long, n_shingles long, __a long, __b long, __keys array<long>, __sig binary"
-    return docs.select(docs[doc_id].cast("long").alias("k"), docs[text].alias("t")).mapInPandas(run, schema)
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), hashed.asNondeterministic()(docs[text]).alias("f")).select("doc_id", "f.*")
 
 
 def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -225,17 +225,20 @@ def finished(spark: SparkSession, crowded: DataFrame, stars: DataFrame | None, c
     parts = sized.groupBy("label").agg(F.ceil(F.sum("n_shingles") / INDEXED).alias("parts"))
     index = save(spark, sized.join(parts, "label").select("label", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), "doc_id"), "index")
     near = outside.join(index, "doc_id").select("key", "label", "part").distinct()
-    stream = mixed.join(near, "key").select("label", "part", "doc_id").distinct()
-    rows = index.withColumn("kind", F.lit(0)).unionByName(stream.withColumn("kind", F.lit(1)))
+    stream = save(spark, mixed.join(near, "key").select("label", "part", "doc_id").distinct(), "stream")
+    copies = stream.groupBy("label", "part").agg(F.ceil(F.count(F.lit(1)) / STREAMED).alias("copies"))
+    copied = index.join(copies, ["label", "part"]).select("label", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"), "doc_id")
+    salted = stream.join(copies, ["label", "part"]).select("label", "part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("copies")).alias("salt"), F.lit(1).alias("kind"), "doc_id")
+    rows = copied.unionByName(salted)
     rows = labelled(rows, stars, "doc_id", "c").join(texts, F.col("doc_id") == F.col("__doc"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, now, docs, made = Words(), None, [], None
+        words, now, docs, made = Words(), [], [], None
         for frame in frames:
             found = []
-            for group, part, kind, doc, c, text in zip(frame["label"], frame["part"], frame["kind"], frame["doc_id"], frame["c"], frame["__text"]):
-                if (group, part) != now:
-                    now, docs, made = (group, part), [], None
+            for *group, kind, doc, c, text in zip(*(frame[x] for x in ("label", "part", "salt", "kind", "doc_id", "c", "__text"))):
+                if group != now:
+                    now, docs, made = group, [], None
                 s = shingle_set(text, words)
                 if kind == 0:
                     docs.append((doc, c, s))
@@ -244,13 +247,13 @@ def finished(spark: SparkSession, crowded: DataFrame, stars: DataFrame | None, c
                 found += made.links(doc, c, s)
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    dealt = rows.select("label", "part", "kind", "doc_id", "c", "__text").repartition("label", "part").sortWithinPartitions("label", "part", "kind")
+    dealt = rows.select("label", "part", "salt", "kind", "doc_id", "c", "__text").repartition("label", "part", "salt").sortWithinPartitions("label", "part", "salt", "kind")
     return save(spark, dealt.mapInPandas(run, "a long, b long"), "finished")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    spark = docs.sparkSession
+    spark, before = docs.sparkSession, saved()
     every = save(spark, features(docs, doc_id, text), "features")
     firsts = every.where("n_shingles > 0").groupBy("__a", "__b").agg(F.min("doc_id").alias("__first"))
     members = save(spark, every.select("doc_id", "n_shingles", "__a", "__b").join(firsts, ["__a", "__b"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("__first")).alias("__first")), "members")
@@ -282,6 +285,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     apart = apart.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("bands", "a", "b")).alias("m"))
     meet(apart.select("m.a", "m.b"))
     join(finished(spark, crowded, stars, classes, texts))
+    drop_since(spark, before, members, *([] if stars is None else [stars]))
     out = labelled(members, stars, "__first", "component_id")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

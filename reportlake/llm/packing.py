@@ -6,7 +6,9 @@ block, whatever its partition or its longest document; there is no shuffle.
 
 Nulls and empty texts hold only the closing id. Repeated rows are packed as
 often as they occur; an empty table gives no pieces. Columns other than the id
-and the text are not read. A null id is kept as null.
+and the text are not read. Ids travel as text, so that none is rounded beside a
+null one, which is kept as null; a cluster's pieces of null ids are told apart
+by their sequence and offset only.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CAPACITY = 4096
 WINDOWS = 256  # windows of a block
@@ -210,9 +213,7 @@ class _Packer:
         size = 2_000 if self.with_ids else 50_000
         while len(self.out) >= size or all_of_it and self.out:
             part, self.out = self.out[:size], self.out[size:]
-            frame = pd.DataFrame(part, columns=names)
-            frame["doc_id"] = pd.array([None if x is None else int(x) for x in frame["doc_id"]], dtype="Int64")
-            yield frame
+            yield pd.DataFrame(part, columns=names)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -222,7 +223,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text:
         tok = WordTokenizer(tokenizer_path)
         packer = _Packer((TaskContext.get().partitionId() if TaskContext.get() else 0) << 36, capacity, with_ids)
         for frame in frames:
-            keys = [None if pd.isna(x) else int(x) for x in frame.iloc[:, 0]]
+            keys = frame.iloc[:, 0].tolist()
             texts = [x if isinstance(x, str) else None for x in frame.iloc[:, 1]]
             for at in range(0, len(texts), 256):
                 for key, ids in zip(keys[at : at + 256], tok.ids(texts[at : at + 256])):
@@ -231,5 +232,6 @@ def pack(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text:
         packer.close()
         yield from packer.frames(True)
 
-    schema = SCHEMA + (", ids array<long>" if with_ids else "")
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInPandas(run, schema)
+    schema = SCHEMA.replace("doc_id long", "doc_id string") + (", ids array<long>" if with_ids else "")
+    pieces = docs.select(docs[doc_id].cast("long").cast("string").alias("doc_id"), docs[text].alias("text")).mapInPandas(run, schema)
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))

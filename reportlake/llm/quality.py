@@ -7,8 +7,9 @@ labelled rows. The layers being linear up to the softmax, executors keep one
 number a word, so scoring a text is a sum over its words.
 
 Null and empty texts have no features and get the score of the bias. Repeated
-rows are scored alike; empty tables give no rows; other columns are not read
-(their names may clash with anything).
+rows are scored alike; empty tables give no rows; null ids are kept as they
+are. Only texts leave the JVM: ids and other columns stay as they are, and their
+names may clash with anything.
 """
 
 from __future__ import annotations
@@ -20,16 +21,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import WordRows, bounded_sample
+from reportlake.llm.common import WordRows, labelled_texts
 
 BUCKETS = 1 << 16
 DIM = 8
 EPOCHS = 6
 RATE = 0.5
 TRAINING_ROWS = 3000  # labelled rows at most that are learned from
+TRAINING_MB = 64  # of their texts together
 THRESHOLD = 0.3
 SEED = 7
 LONG = 64  # bytes; longer words are added up in pieces and not kept
@@ -136,31 +138,40 @@ def score_texts(texts: list[str | None], margin: np.ndarray, bias: float, known:
     return 1 / (1 + np.exp(-out))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, *, label: str = "quality", rows: int = TRAINING_ROWS) -> Model:
-    """Learn from at most `rows` labelled documents for which learn(id column) holds.
+def fit(docs: DataFrame, labels: DataFrame, learn, *, label: str = "quality", rows: int = TRAINING_ROWS, mb: float = TRAINING_MB) -> Model:
+    """Learn from at most `rows` labelled documents for which learn(id column) holds, of at most `mb` together.
 
     Rows without a label or text are left out, as are labels other than 0 and 1;
     with nothing to learn from, every document scores 0.5.
     """
     some = labels.select(labels["doc_id"].alias("k"), labels[label].cast("int").alias("y")).where(F.col("y").isin(0, 1) & learn(F.col("k")))
-    some = bounded_sample(some.groupBy("k").agg(F.max("y").alias("y")), "k", rows)
-    texts = docs.select(docs["doc_id"].alias("k"), docs["text"].alias("t")).where("t is not null")
-    got = texts.join(F.broadcast(some), "k").select("k", "y", "t").toPandas().sort_values(["k", "t"]) if rows else None  # at most `rows` ids
+    got = labelled_texts(some, docs, rows, mb)
     return train(list(got["t"]), [int(y) for y in got["y"]])
 
 
-def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, score (0 to 1) and predicted (1 if score >= threshold)."""
+def scored(text: Column, model: Model) -> Column:
+    """The score of a text; only texts travel to Python."""
     margin, bias = model.margins()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = WordRows(2)
-        for frame in frames:
-            texts = [x if isinstance(x, str) else None for x in (frame["text"] if "text" in keep else frame.pop("__text"))]
-            frame["score"] = np.concatenate([score_texts(texts[at : at + 500], margin, bias, known) for at in range(0, len(texts), 500)] or [np.zeros(0)])
-            frame["predicted"] = (frame["score"] >= threshold).astype("int32")
-            yield frame
-
-    source = docs.select(*[docs[c] for c in keep], *([] if "text" in keep else [docs["text"].alias("__text")]))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double, predicted int"
-    return source.mapInPandas(run, schema)
+        for part in texts:
+            some = [x if isinstance(x, str) else None for x in part]
+            yield pd.Series(np.concatenate([score_texts(some[at : at + 500], margin, bias, known) for at in range(0, len(some), 500)] or [np.zeros(0)]))
+
+    return score_of.asNondeterministic()(text)  # which keeps the optimiser from running it twice
+
+
+def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The id, score (0 to 1) and predicted (1 if score >= threshold)."""
+    found = docs.select(docs[doc_id].alias("doc_id"), scored(docs[text], model).alias("score"))
+    return found.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows whose text is not rejected, with all their columns, whatever these are called."""
+    name = "__score"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, scored(docs[text], model)).where(F.col(name) >= threshold).drop(name)

@@ -26,7 +26,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    def added(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: ~s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_added_{kind}")
+
+    total = F.size("spans").cast("long").alias("n_all")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), *map(added, (*pii.KINDS, "secret")), total)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

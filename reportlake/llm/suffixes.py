@@ -261,7 +261,7 @@ def results(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kept.update(t[at:])
             rows.append((len(t), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), kept.hexdigest(), runs.ravel().tolist()))
         out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-        out.insert(0, "doc_id", pd.array([None if pd.isna(x) else int(x) for x in frame["doc_id"]], dtype="Int64"))
+        out.insert(0, "doc_id", frame["doc_id"])
         yield out
 
 
@@ -296,8 +296,8 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         seen = save(spark, dealt.groupBy("doc").agg(spans.alias("strings")), "strings")
         del around, dealt
         release(spark)
-        joined = stored.join(seen, stored["doc_id"] == seen["doc"], "left").select("doc_id", "text", "blocks", "strings")
-        out = save(spark, joined.mapInPandas(results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<int>"), "kept")
+        joined = stored.join(seen, stored["doc_id"] == seen["doc"], "left").select(F.col("doc_id").cast("string"), "text", "blocks", "strings")  # beside a null, a number would be rounded
+        out = save(spark, joined.mapInPandas(results, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<int>").withColumn("doc_id", F.col("doc_id").cast("long")), "kept")
         drop(spark, left, seen)
         return out
     finally:

@@ -78,12 +78,32 @@ def test_pii_viterbi_is_the_best_path():
         assert abs(score(labels) - max(map(score, itertools.product(range(pii.K), repeat=4)))) < 1e-9
 
 
-def test_pii_skips_no_window_that_holds_a_label():
-    p = pii.trained()
-    x, _ = pii.examples(200, 96, np.random.default_rng(8))
-    found, labels = pii.decode(p, x.T.copy())
-    every = pii.viterbi(pii.emissions(p, x.T.copy()), p["trans"])
-    assert (np.flatnonzero(every.any(0)) == found).all() and (every[:, found] == labels).all()
+def whole_path(p, text):
+    """The best path of a text's whole lattice, traced at once."""
+    seen = [pii.classes(text)]
+    e = np.concatenate([pii.part_emissions(p, seen, [q])[q[4] : q[5], :, 0] for q in pii.parts_of(seen)])
+    assert len(e) == len(text)
+    return pii.trace(p, [e])[0]
+
+
+def test_pii_labels_are_the_best_path_of_the_whole_lattice():
+    rng, r, p = random.Random(8), np.random.default_rng(8), pii.trained()
+    for _ in range(12):  # other weights give long runs and many labels
+        q = p | {"e0": p["e0"] + r.normal(0, 2, pii.K).astype(np.float32), "trans": (p["trans"] + r.normal(0, 1, p["trans"].shape)).astype(np.float32)}
+        texts = ["" if rng.random() < 0.1 else text_of(rng, rng.randint(1, 500)) for _ in range(4)]
+        got = pii.label_texts(q, texts)
+        for i, t in enumerate(texts):
+            assert not t or (got.get(i, np.zeros(len(t))) == whole_path(q, t)).all()
+
+
+def test_pii_finds_a_span_at_every_offset_around_a_seam():
+    rng, p = random.Random(5), pii.trained()
+    base, end = text_of(rng, 120), text_of(rng, 150)
+    for span, kind in [('token = "' + "0a1b9f3c" * 5 + '"', 5), ("jane.doe (at) corpsite.example.org", 1)]:
+        texts = [base[:off] + " " + span + " " + end for off in range(340, 540, 3)]
+        labels = pii.label_texts(p, texts)
+        for i, t in enumerate(texts):
+            assert [(k + 1, t[a:b]) for a, k, b in pii.added_spans(t, labels[i], [])] == [(kind, span)]
 
 
 def test_pii_windows_cover_and_do_not_depend_on_neighbours(spark):
@@ -108,7 +128,9 @@ def test_pii_query(spark, odd, none):
     for r in rows:
         base = brute.pii(texts[r.doc_id] or "")
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in base) for i in range(4)]
-        assert {f"{brute.KINDS[k]}:{s}:{e}" for s, k, e in base} <= set(r.spans.split(","))
+        spans = set(r.spans.split(",")) - {""}
+        assert {f"{brute.KINDS[k]}:{s}:{e}" for s, k, e in base} <= spans and r.n_all == len(spans)
+        assert r.n_added_secret == sum(s.startswith("secret") for s in spans)
 
 
 # ---- 2
@@ -238,25 +260,83 @@ def test_neighbours_odd_rows(spark):
 
 def test_pigeonhole_finds_every_code_within_the_radius():
     rng = np.random.default_rng(1)
-    index = neighbours.learn(rng.normal(size=(500, 16)), bits=64)
     x = rng.normal(size=(400, 16))
-    for radius in (3, 12, 20):
-        found = neighbours.Search(index, np.arange(40), x[:40], radius, 500)
-        found.add(np.arange(400), x)
+    index, units = neighbours.learn(x), neighbours.unit(x)
+    codes = index.codes(units)
+    for radius in (3, 40, 90):
+        found = neighbours.Search(index, np.arange(40), units[:40], codes[:40], radius, 500)
+        found.add(np.arange(400), units, codes)
         found.reduce()
-        close = neighbours.hamming(index.codes(neighbours.unit(x)), found.codes) <= radius
+        close = neighbours.hamming(codes[:, None], codes[None, :40]) <= radius
         assert sorted(zip(found.r.tolist(), found.q.tolist())) == sorted(zip(*map(np.ndarray.tolist, np.nonzero(close))))
 
 
+def test_lists_by_substring_find_every_code_within_the_first_radius(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST", 20)  # so that lists are salted
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(12, 32)), 25, axis=0) + rng.normal(size=(300, 32)) * rng.choice([0, 0.02, 0.1, 0.3], size=(300, 1))
+    index, units = neighbours.learn(x), neighbours.unit(x)
+    codes = index.codes(units)
+    rows = neighbours.encoded(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>"), index)
+    index_rows, asked = rows.select("k", "u", "c", "sub", F.col("k").alias("row")).cache(), rows.where("k % 10 = 0").select("k", "u", "c", "sub").cache()
+    got = neighbours.substring_search(index_rows, asked, 5).toPandas()
+    want = {(q, r) for q in range(0, 300, 10) for r in range(300) if neighbours.hamming(codes[q], codes[r]) <= neighbours.first_radius()}
+    assert len(got) == len(want) > 300 and set(zip(got["q"], got["vec_id"])) == want
+    assert all(abs(units[q] @ units[r] - s) < 1e-12 for q, r, s in got[["q", "vec_id", "score"]].itertuples(index=False))
+
+
+def test_neighbours_of_clusters_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ROWS", 70)
+    monkeypatch.setattr(neighbours, "QUERIES", 3)
+    rng = np.random.default_rng(7)
+    near = np.repeat(rng.normal(size=(20, 24)), 20, axis=0) + 0.05 * rng.normal(size=(400, 24))  # done by lists
+    far = rng.normal(size=(100, 24))  # done by blocks
+    x, ids = np.concatenate([near, far]), np.arange(500)
+    got = neighbours.nearest(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).toPandas().sort_values(["query_id", "rank"])
+    want = nearest(x, ids)
+    assert sum(len(set(g["vec_id"]) & set(want[q])) for q, g in got.groupby("query_id")) >= 0.9 * 50 and len(got) == 50
+
+
 # ---- 5
 
 
 def test_urls(spark):
     cases = [("http://WWW.Example.com/en/x?q#f", "www.example.com", "/en/x", "www.example.com/en/", "allow"), ("https://a.example.com/en/1", "a.example.com", "/en/1", "example.com/en/", "block"), ("x://b.com/", "b.com", "/", "com/", "allow"), ("x://b.com", "b.com", "", None, "allow"), ("x://c.net/es/2", "c.net", "/es/2", "net/es/", "block"), ("x://cnet/es/", "cnet", "/es/", None, "allow"), ("x://cheapcasino.example.org/de/", "cheapcasino.example.org", "/de/", None, "block"), ("x://citymuseum.example.org?a=/b", "citymuseum.example.org", "", None, "allow"), ("no url", "", "", None, "allow"), (None, "", "", None, "allow"), ("a://b://c/d", "b:", "//c/d", None, "allow"), ("://", "", "", None, "allow")]
     df = spark.createDataFrame([(i, c[0], "clash") for i, c in enumerate(cases)], "page_id long, url string, verdict string")
-    rows = urls.judge(df).orderBy("page_id").collect()
+    rows = urls.judge(df, text=None).orderBy("page_id").collect()
     assert [(r.host, r.path, r.rule, r.verdict) for r in rows] == [c[1:] for c in cases]
-    assert urls.judge(df.limit(0)).count() == 0
+    assert urls.judge(df.limit(0), text=None).count() == 0
+    odd = spark.createDataFrame([(None, "x://a.org/" + "poker" * 3000, None), (2**60 + 1, "x://a.org/q", "<p>alpha beta alpha</p>"), (2**60 + 3, None, "")] * 2, "page_id long, url string, html string")
+    assert sorted((str(r.page_id), r.verdict) for r in urls.judge(odd).collect()) == sorted([("None", "block"), (str(2**60 + 1), "allow"), (str(2**60 + 3), "allow")] * 2)
+
+
+def test_urls_learn_from_rules_and_texts(spark):
+    rules = [("allow", "com", "/"), ("block", "net", "/"), ("block", "a.com", "/x/"), ("allow", "c.a.com", "/x/")]
+    assert urls.rule_of("b.c.a.com", "/x/y", rules) == ("c.a.com/x/", "allow", "b.", "y")
+    made = [f"s://{'good' if v == 'com' else 'evil'}{w}.{v}/{w}/{i}" for v in ("com", "net") for w in ("red", "blue", "green", "grey", "black", "white", "pink", "brown") for i in range(3)]
+    made += ["s://evilblue.org/1", "s://goodblue.org/1", None, "s://evilthing.net/"]
+    words = " ".join(["good evil red blue green grey black white pink brown thing"] * 40)
+    df = spark.createDataFrame([(i, u, f"<p class='goodred'>{words}</p> www.goodred.com <script>evilred evilred</script>") for i, u in enumerate(made)], "page_id long, url string, html string")
+    counts = urls.counted(df, "html")
+    assert counts["evil"] == 40 * len(made) and "goodred" not in counts and "evilred" not in counts and "p" not in counts
+    # all splits of a run, by brute force
+    cut = urls.segmenter(counts)
+    for run in ("evilblue", "goodgreengrey", "blackpink"):
+        every = [[run[a:b] for a, b in zip([0, *ends], [*ends, len(run)])] for n in range(4) for ends in __import__("itertools").combinations(range(1, len(run)), n)]
+        cost = lambda ws: sum(cut.logs.get(w, -np.log(cut.total) - len(w) * np.log(10)) for w in ws)
+        assert abs(cost(cut.split(run)) - max(map(cost, every))) < 1e-9
+    learnt = urls.learn(urls.examples(df, cut, rules=rules))
+    want = {}
+    for host, blocked, ws in {(u.split("/")[2], ".net" in u, tuple(cut.split(u.split("/")[2].split(".")[0]) + cut.split(u.split("/")[3]))) for u in made if u and ".org" not in u}:
+        for w in {*ws} - {""}:
+            b, a = want.get(w, (0, 0))
+            want[w] = (b + blocked, a + (not blocked))
+    assert learnt == want
+    rows = {r.page_id: r for r in urls.judge(df, rules=rules).collect()}
+    n = len(made)
+    assert rows[n - 4].score > rows[n - 3].score + 1 and rows[n - 4].host_words == "evil blue org" and rows[n - 2].verdict == "allow"
+    model = urls.bayes(learnt)
+    assert abs(rows[n - 4].score - model.score(["evil", "blue", "org"])) < 1e-9 and len(set(model.weight.values())) > 4
 
 
 def test_viterbi_splits_into_words():
@@ -360,7 +440,7 @@ def test_lines(spark, odd, none):
     got = {r.doc_id: r for r in lines.clean(frame).collect()}
     assert got[5].text == "own 5\n\nx5" and (got[5]["__n_lines"], got[5]["__n_removed"]) == (5, 2)
     assert got[1].text.endswith("rare") and got[0].text == rows[0][1]
-    assert got[100].text == "menu\r" and got[200].text is None and got[201].text == "" and got[200]["__n_lines"] == 0
+    assert got[100].text == "" and got[100]["__n_removed"] == 1 and got[200].text is None and got[201].text == "" and got[200]["__n_lines"] == 0
     assert lines.clean(none).count() == 0 and lines.clean(odd).count() == 10
 
 
