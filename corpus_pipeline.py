@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportlake.llm import decontaminate, lines, minhash, packing, quality
-from reportlake.llm.common import save, table
+from reportlake.llm.common import drop_since, save, saved, table
 from reportlake.llm.queries import fold, tokenizer
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; it learns from labelled documents outside the held-out fold."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), lambda k: fold(k, 5) != 0)
-    return quality.score(docs, model, keep=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    return quality.keep_good(docs, model)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), saved()
     for name, stage in STAGES:
         docs = save(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_since(spark, before, docs)  # what no later stage reads
     return docs
