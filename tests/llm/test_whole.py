@@ -7,8 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import brute  # noqa: E402
-from reportlake.llm import decontaminate, language, neighbours, pii, quality
-from reportlake.llm.common import WordRows
+from reportlake.llm import common, components, decontaminate, language, lines, minhash, neighbours, packing, pii, quality, queries, suffixes
+from reportlake.llm.common import WordRows, labelled_texts
 from test_operators import docs_of, text_of
 
 # ---- 7
@@ -95,3 +95,233 @@ def test_language_reads_the_middle_of_long_words():
     model = language.train([("aaaaa aaaaab", "a"), ("aaaaa aaaaab", "a"), ("bcbcb cbcbc", "b"), ("bcbcb cbcbc", "b")])
     word = "a" * 60 + "bc" * 200_000 + "a" * 60
     assert model.languages[int(model.of(word).argmax())] == "b"
+
+
+# ---- ids, names, and tables that hold nothing
+
+BIG = 2**60
+
+
+def big(spark):
+    """Ids beyond what a double holds, beside null ones, in one batch."""
+    rng = random.Random(12)
+    text, other = text_of(rng, 40), text_of(rng, 40)
+    rows = [(BIG + 1, text), (BIG + 3, text + " x"), (None, text), (BIG + 5, other), (None, None), (BIG + 7, None), (7, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string, lang_pred string"
+    return spark.createDataFrame([(k, t, "en", "s", None if k is None else BIG + 1, "c", "c", "c") for k, t in rows], schema).coalesce(1)
+
+
+def ids(df):
+    return Counter(r.doc_id for r in df.select("doc_id").collect())
+
+
+def test_ids_are_never_rounded(spark):
+    docs = big(spark)
+    want = ids(docs)
+    model = quality.train(["a b", "c d"], [0, 1])
+    speech = language.train([("a b c", "en"), ("d e f", "de")])
+    for found in (pii.find(docs), minhash.near_duplicates(docs), suffixes.remove_repeats(docs), quality.score(docs, model), language.predict(docs, speech), lines.clean(docs)):
+        assert ids(found) == want
+    pieces = packing.pack(docs, queries.tokenizer())
+    assert set(ids(pieces)) == set(want)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}[BIG + 3] == BIG + 1
+    items = spark.createDataFrame([(1, docs.first().text)], "item_id long, text string")
+    assert ids(decontaminate.find(docs, items)) == Counter([BIG + 1, BIG + 3, None])
+    assert ids(decontaminate.clean(docs, items)) == Counter([BIG + 5, BIG + 7, None, 7][:4]) - Counter([None])
+    vectors = spark.createDataFrame([(BIG, [1.0, 0.0]), (BIG + 1, [1.0, 0.1]), (None, [1.0, 0.0]), (BIG + 3, None)], "vec_id long, embedding array<double>").coalesce(1)
+    assert [(r.query_id, r.vec_id) for r in neighbours.nearest(vectors, F.col("vec_id") == BIG).collect()] == [(BIG, BIG + 1)]
+
+
+def test_pipeline_with_clashing_names_and_without_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    docs = big(spark)
+    for frame in (docs, docs.limit(0)):
+        now = frame
+        for name, stage in cp.STAGES:
+            now = stage(spark, now, sf)
+            if name != "packing":
+                assert now.columns == docs.columns and now.schema == docs.schema, name
+                assert {r.n_chars for r in now.collect()} <= {None, BIG + 1, *range(3000)}
+        assert now.count() == 0 or frame is docs
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark):
+    """Each stage against a plain version on its own input; the classifier's scores are compared one by one."""
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), lambda k: queries.fold(k, 5) != 0)
+    margin, bias = model.margins()
+
+    def plain_score(text):
+        held = [b for w in (text or "").encode().split() for b in quality.buckets(w)]
+        return 1 / (1 + np.exp(-(bias + (margin[held].mean() if held else 0.0))))
+
+    def cleaned(rows):
+        pages, held = Counter(r.source for r in rows), Counter()
+        key = lambda line: line.strip(" \t\r")
+        for r in rows:
+            held.update({(r.source, key(x)) for x in (r.text or "").split("\n")} - {(r.source, "")})
+        drop = {k for k, n in held.items() if n >= lines.LEAST and n > lines.RATIO * pages[k[0]]}
+        return {r.doc_id: None if r.text is None else "\n".join(x for x in r.text.split("\n") if (r.source, key(x)) not in drop) for r in rows}
+
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    now = docs
+    for name, stage in cp.STAGES[:-1]:
+        before, after = now.collect(), stage(spark, now, sf).collect()
+        texts = {r.doc_id: r.text for r in before}
+        got = {r.doc_id: r.text for r in after}
+        assert len(after) == len(got)
+        if name == "quality":
+            assert set(got) == {k for k, t in texts.items() if plain_score(t) >= quality.THRESHOLD}
+        if name == "lines":
+            assert got == cleaned(before) and {r.doc_id: r.n_chars for r in after} == {r.doc_id: len(got[r.doc_id]) if got[r.doc_id] != r.text else r.n_chars for r in before}
+        if name == "near_duplicates":
+            assert set(got) == {k for k, (_, c) in brute.near_duplicates(list(texts.items())).items() if k == c}
+        if name == "contamination":
+            item_shingles = [(i.text, set(brute.shingles(i.text))) for i in items if brute.shingles(i.text)]
+            bad = {k for k, t in texts.items() for x, s in item_shingles if s & set(brute.shingles(t)) and 100 * (m := most_similar(t, x))[0] >= 75 * m[1]}
+            assert set(got) == set(texts) - bad
+        now = spark.createDataFrame(after, docs.schema)
+
+
+# ---- 9
+
+
+def test_lines_of_pages_that_are_all_boilerplate(spark):
+    rows = [(i, "menu\nfooter" if i < 40 else f"own {i}", "en", "s", 0) for i in range(50)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    got = lines.clean(spark.createDataFrame(rows, schema)).collect()
+    assert sum(r["__n_removed"] for r in got) == 80 and {r.text for r in got if r.doc_id < 40} == {""}
+
+
+def test_lines_of_repeated_ids_equal_their_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [(i % 5, "menu\nown" if i % 2 else f"menu\nx {i}", "en", "s", 0) for i in range(15)]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"])
+    want = duckdb.connect().execute(f"select doc_id, text, n_lines, n_removed from ({lines.clean_sql('documents')})").fetchall()
+    got = lines.clean(spark.createDataFrame(documents)).select("doc_id", "text", "__n_lines", "__n_removed").collect()
+    assert Counter(map(tuple, got)) == Counter(want) and any(r[3] == 2 for r in want)
+
+
+# ---- 7
+
+
+def test_decontamination_ties_and_repeats(spark):
+    rng = random.Random(3)
+    item = text_of(rng, 20)
+    text = " ".join([item] * 3)
+    docs = spark.createDataFrame([(1, text), (1, text), (2, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, item), (2, item)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start, r.overlap, r.total) for r in decontaminate.find(docs, items).collect())
+    assert got == [(d, i, 0, 16, 16) for d in (1, 2) for i in (1, 2)]
+
+
+# ---- 8
+
+
+def test_language_letters_and_ties():
+    model = language.train([("aa bb", "x"), ("aa bb", "x"), ("aa cc", "y"), ("aa cc", "y")])
+    langs, scores = language.predict_texts(["\u00bd \u00b2", "\u2167 \u2460", "aa", "漢"], model, WordRows(2))
+    assert langs == ["und", "und", "x", "x"] and scores[:2] == [0.0, 0.0] and scores[2] == scores[3] == 0.5
+
+
+def test_language_equals_a_plain_version():
+    """Word first, then the longest known n-grams, word by word."""
+    rng = random.Random(5)
+    rows = [(" ".join("".join(rng.choice(a) for _ in range(rng.randint(1, 6))) for _ in range(60)), lang) for lang, a in (("en", "abcdef"), ("de", "defghi"), ("fr", "aghijk")) for _ in range(4)]
+    model = language.train(rows)
+    counts = {lang: Counter(w for t, x in rows if x == lang for w in t.split()) for lang in model.languages}
+
+    def logs(each):
+        kept = {x for x, n in sum(each.values(), Counter()).items() if n >= 2}
+        total = {k: sum(c.values()) + 0.5 * len(kept) + 1 for k, c in each.items()}
+        table = {x: np.array([np.log((each[k][x] + 0.5) / total[k]) for k in model.languages]) for x in kept}
+        return {x: v - v.mean() for x, v in table.items()}
+
+    def grams(w, n):
+        return [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]
+
+    words = logs(counts)
+    tables = {n: logs({k: sum((Counter({g: c * m for g, m in Counter(grams(w, n)).items()}) for w, c in ws.items()), Counter()) for k, ws in counts.items()}) for n in (5, 4, 3, 2, 1)}
+
+    def of(w):
+        if w in words:
+            return words[w]
+        for n in (5, 4, 3, 2, 1):
+            if found := [tables[n][g] for g in grams(w, n) if g in tables[n]]:
+                return np.mean(found, axis=0)
+        return np.zeros(3)
+
+    texts = [" ".join("".join(rng.choice("abcdefghijkz") for _ in range(rng.randint(1, 9))) for _ in range(9)) for _ in range(40)]
+    langs, scores = language.predict_texts(texts, model, WordRows(3))
+    for t, lang, s in zip(texts, langs, scores):
+        z = np.sum([of(w) for w in t.split()], axis=0)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert abs(p.max() - s) < 1e-9 and model.languages[int(p.argmax())] == lang
+
+
+# ---- training samples
+
+
+def test_training_samples_are_bounded(spark):
+    rows = [(i % 20, f"{i:03d} " + "x" * 5000) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    some = spark.createDataFrame([(i, i % 2) for i in range(20)], "k long, y int")
+    got = labelled_texts(some, docs, 15, 40_000 / 2**20)
+    assert len(got) == 7 and got["t"].tolist() == [f"{k:03d} " + "x" * 5000 for k in got["k"]]  # one text an id, the least
+    assert len(labelled_texts(some, docs, 15, 1)) == 15 and len(labelled_texts(some, docs.limit(0), 15, 1)) == 0
+
+
+# ---- components, storage, executors
+
+
+def test_components_of_a_long_path(spark):
+    n, rng = 5000, random.Random(1)
+    order = list(range(n + 1))
+    rng.shuffle(order)
+    links = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    found = components.components(spark, links)
+    assert found.count() == n + 1 and found.where("component <> 0").count() == 0
+
+
+def test_saved_tables_are_deleted(spark):
+    import os
+
+    folder = common.shared_dir(spark).removeprefix("file:")
+    docs = docs_of(spark, ["a b c d e f", "a b c d e f", "g h i j k l"])
+    before = common.saved()
+    minhash.near_duplicates(docs).collect()
+    left = common.saved() - before
+    assert len(left) <= 2 and all(os.path.isdir(p.removeprefix("file:")) for p in left) and folder
+
+
+def test_operators_run_without_the_package_on_executors(tmp_path):
+    """The driver finds the package by a path that Python workers do not get."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+spark.range(1).rdd.map(lambda x: 1).collect()
+sys.path.insert(0, {root!r})
+from reportlake.llm import queries
+for name in ("op1_pii", "op4_neighbours", "op5_urls", "op8_language", "op10_quality"):
+    print(name, queries.QUERIES[name](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.count("op") == 5
