@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,10 +16,6 @@ from reportlake.plans.catalogue import HIT, NOT_REPORTED, SOURCES, Kpi
 CHOSEN = ("value", "unit", "confidence", "source", "score")
 
 
-def union(sources: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, sources)
-
-
 def best(cands: DataFrame) -> DataFrame:
     """The candidate of each (doc_id, ord, code) with the highest score, then priority."""
     rank = F.struct(F.when(F.col("source").isNull(), -1.0).otherwise(F.coalesce(F.col("score.score"), F.lit(0.0))), priority(F.col("source")))
@@ -65,23 +60,51 @@ def missing(results: DataFrame) -> DataFrame:
     return results.where(F.col("value").isNull())
 
 
-def ask(docs: DataFrame, client: Callable[[str], str | None]) -> DataFrame:
-    """doc_id and content: a client's answer to each report's text; an error is no answer.
+Client = Callable[[list[dict]], str | None]
+
+
+def prompt(kpis: list[Kpi]) -> str:
+    """What a model is asked for: these indicators and no others."""
+    asked = "\n".join(f"- {k.code}" + (f", in {k.units[0]}" if k.units else "") for k in kpis)
+    shape = ", ".join(f'"{k.code}": {{"raw_value": ..., "raw_unit": ...}}' for k in kpis)
+    return f"""Find these figures in the report that follows:
+{asked}
+Take the first place that states a figure. Copy its number and its unit letter by letter, without converting them; both are text.
+What the report does not state is null in both fields. Answer with this JSON object and nothing else: {{{shape}}}"""
+
+
+def ask(docs: DataFrame, client: Client, kpis: tuple[Kpi, ...], *, tries: int = 2) -> DataFrame:
+    """doc_id and content: a client's answer to each report's text and missing indicators (codes); an error is no answer.
 
-    The client is shipped to the executors and called once a report.
+    The client is shipped to the executors and called once a report, and again
+    after an error, `tries` times in all. Reports without text are not asked about.
     """
+    known = {k.code: k for k in kpis}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    @F.pandas_udf("string")
+    def answer(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, codes in parts:
             answers = []
-            for text in frame["text"]:
-                try:
-                    answers.append(client(text) if isinstance(text, str) and text else None)
-                except Exception:  # one failed call must not cost the others
-                    answers.append(None)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "content": pd.Series(answers, dtype=object)})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id string, content string")
+            for text, missing_ in zip(texts, codes):
+                content = None
+                if isinstance(text, str) and text and len(missing_):
+                    messages = [{"role": "system", "content": prompt([known[c] for c in missing_])}, {"role": "user", "content": text}]
+                    for _ in range(tries):
+                        try:
+                            content = client(messages)
+                            break
+                        except Exception:  # one failed call must not cost the others
+                            continue
+                answers.append(content)
+            yield pd.Series(answers, dtype=object)
+
+    return docs.select("doc_id", answer.asNondeterministic()("text", "codes").alias("content"))
+
+
+def open_codes(results: DataFrame) -> DataFrame:
+    """doc_id and codes: the indicators that each report misses, in the order of the catalogue; no row for others."""
+    each = missing(results).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "code"))).alias("open"))
+    return each.select("doc_id", F.col("open.code").alias("codes"))
 
 
 def answered(responses: DataFrame, kpis: tuple[Kpi, ...]) -> DataFrame:

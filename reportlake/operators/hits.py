@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from reportlake.functions.text import SPACE, alternatives, contains_any, first, lines, plain_words, sentences, strip, token, unit_token
 from reportlake.plans.catalogue import HIT, NLP_WITH_UNIT, SOURCES, Kpi, strings
 
+# The pattern of a number, and how far it may stand from a unit in brackets.
 VALUE = r"([0-9][0-9,.\s]*(?:million|thousand|k)?)"
 NEAR = 120  # characters between a unit in brackets and its value
 

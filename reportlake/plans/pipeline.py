@@ -17,6 +17,7 @@ from reportlake.functions.text import collapse
 from reportlake.operators import fuse, hits
 from reportlake.operators.normalise import candidates
 from reportlake.plans.catalogue import DEFAULT, Kpi
+from reportlake.sources.storage import stored
 
 
 @dataclass(frozen=True)
@@ -46,12 +47,17 @@ def raw_hits(reports: DataFrame, kpis: tuple[Kpi, ...] = DEFAULT, extractors: tu
     return hits.rows(prepared(reports), F.concat(*[e.of(kpis) for e in extractors]))
 
 
-def extract_kpis(reports: DataFrame, kpis: tuple[Kpi, ...] = DEFAULT, *, llm: Callable[[str], str | None] | None = None, extractors: tuple[Extractor, ...] = EXTRACTORS) -> DataFrame:
-    """One row for each report and indicator. A language model is asked only where a client is passed, and only for reports that miss something; the reports are then read three times, so store what a costly reader gives first."""
+def extract_kpis(reports: DataFrame, kpis: tuple[Kpi, ...] = DEFAULT, *, llm: fuse.Client | None = None, extractors: tuple[Extractor, ...] = EXTRACTORS) -> DataFrame:
+    """One row for each report and indicator.
+
+    A language model is asked only where a client is passed, once a report that
+    misses something, and for what it misses. Results and answers are stored
+    then, so that no action extracts or asks again; the reports are read twice.
+    """
     found = hits.rows(prepared(reports), F.concat(*[e.of(kpis) for e in extractors], fuse.absent(kpis)))
     results = fuse.shaped(fuse.best(candidates(found, kpis)))
     if llm is None:
         return results
-    open_ = fuse.missing(results).select("doc_id").distinct()
-    answers = fuse.answered(fuse.ask(reports.join(open_, "doc_id", "left_semi"), llm), kpis)
-    return fuse.backfill(results, answers)
+    results = stored(results, "results")
+    answers = stored(fuse.ask(reports.join(fuse.open_codes(results), "doc_id"), llm, kpis), "answers")
+    return fuse.backfill(results, fuse.answered(answers, kpis))

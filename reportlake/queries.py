@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +16,7 @@ from reportlake.plans import analytics
 from reportlake.plans.catalogue import DEFAULT, by_code, dimension, strings, unit_dimension
 from reportlake.plans.pipeline import extract_kpis, prepared, raw_hits
 from reportlake.sources import results as sinks
+from reportlake.sources.storage import shared_path, stored
 from reportlake.sources.samples import SPARK, reports, scaled, written
 
 QUERIES = {}
@@ -198,10 +196,8 @@ def scored(df: DataFrame) -> DataFrame:
 
 @query
 def candidates_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each extractor's candidates on their own, brought together."""
-    ready_ = ready(spark, sf_dir)
-    each = [hits.cell_hits(F.col("tables"), DEFAULT), hits.line_hits(F.col("text"), DEFAULT), hits.pattern_hits(F.col("flat"), DEFAULT), hits.sentence_hits(F.col("flat"), DEFAULT)]
-    return scored(fuse.union([candidates(hits.rows(ready_, e), DEFAULT) for e in each]))
+    """The candidates of all extractors, brought together in one scan."""
+    return scored(cands(spark, sf_dir))
 
 
 @query
@@ -223,7 +219,7 @@ def missing_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def llm_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = final(spark, sf_dir)
+    results = stored(final(spark, sf_dir), "results")  # read twice
     filled = fuse.backfill(results, fuse.answered(stub(results), DEFAULT))
     return plain(filled).select("doc_id", "code", "value", "unit", "confidence", "source", "status")
 
@@ -245,15 +241,9 @@ named("confidence_by_kpi", analysis(analytics.confidence_by_kpi))
 named("results_head", analysis(lambda r: analytics.head(r).select("doc_id", "code", "value")))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one; a temporary one only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/reportlake-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="reportlake-")
-
-
 @query
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_folder(spark)
+    path = shared_path(spark, "csv")
     sinks.write_csv_flat(final(spark, sf_dir), path)
     return sinks.read_csv(spark, path)
 

@@ -32,8 +32,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_by_report(spark: SparkSession, path: str) -> DataFrame:
-    folder = F.regexp_extract(F.col("_metadata.file_path"), "doc_id=([^/]+)/", 1)
-    return spark.read.schema(RESULTS_CSV).option("header", True).csv(f"{path}/doc_id=*").select(folder.alias("doc_id"), *FIELDS)
+    return spark.read.schema("doc_id string, " + RESULTS_CSV).option("header", True).csv(path).select("doc_id", *FIELDS)
 
 
 def as_json(results: DataFrame) -> DataFrame:

@@ -39,27 +39,27 @@ def columns(d: Dialect) -> dict[str, str]:
     dots, blanks = f"replace({g}, ',', '.')", f"replace({g}, ',', ' ')"
     nl = "chr(10)"
     texts = [
-        joined(q("In 2024 the group disclosed total GHG emissions (tCO2e) of "), g, q(" for Scope 1 and Scope 2."), nl, q("Total energy consumption (MWh) for the same year came to "), e, q(", fuels included."), nl, q("Total water withdrawal (m3) at all of its sites was "), w, q(", with rain water.")),
-        joined(q("KPI Unit 2024"), nl, q("Total GHG emissions tCO2e "), g, nl, q("Total energy consumption MWh "), e, nl, q("Total water withdrawal m3 "), w),
-        joined(q("The group reported the figures below."), nl, q("Total GHG emissions (tCO2e) "), g, nl, q("Total energy consumption (MWh) "), e, nl, q("Total water withdrawal (m3)  "), w),
-        joined(q("KPI Value"), nl, q("Total GHG emissions (tCO2e) "), g, nl, q("Total GHG emissions (tCO2e) "), dots, nl, q("Total GHG emissions (tCO2e) "), blanks),
-        joined(q("KPI | Unit | Value"), nl, q("Total GHG emissions | t CO2e | "), g, nl, q("Total energy consumption | M W h | "), e, nl, q("Total water withdrawal | m³ | "), w),
-        joined(q("A long story of the year. In 2024, total GHG emissions (tCO2e) reached "), g, q(". "), nl, q("Energy consumption (MWh) was stable at "), e, q(" while sites shifted to wind. "), nl, q("Total water withdrawal (m3) amounted to "), w, q(", and more is planned.")),
-        joined(q("In 2024 the firm gave Total G H G emissions (tCO2e) of "), g, q("; Total ene rgy consumption (MWh) of "), e, q("; and Total wa  ter withdrawal (m3) of "), w, q(" for its sites.")),
-        joined(q("The plant used "), e, q(" kWh of power. Its water use was "), w, q(" cubic meters. Emissions are 1.5 million tons CO2e in all.")),
-        joined(q("All figures follow. Our total GHG emissions for the year amounted to "), g, q(" tCO2e. "), nl, q("Energy use is measured in MWh! It came to "), e, q(" last year. "), nl, q("Total water withdrawal for the year totaled "), w, q(" m³.")),
+        joined(q("Season log of a ferry line. Across nine boats, greenhouse gas emissions (tCO2e) came to "), g, q(" by October. "), nl, q("Shore power pushed energy use (MWh) up to "), e, q(", a fifth above plan. "), nl, q("Tank cleaning put water use (m3) at "), w, q(" for the harbour.")),
+        joined(q("Mill, sheet 4 of 7"), nl, q("GHG emissions tCO2e "), g, nl, q("Energy use MWh "), e, nl, q("Water use m3 "), w),
+        joined(q("Appendix of a brewery"), nl, q("Greenhouse gas emissions (tCO2e) "), g, nl, q("Energy consumption (MWh) "), e, nl, q("Water withdrawal (m3)  "), w),
+        joined(q("Three clerks copy one ledger"), nl, q("Water withdrawal (m3) "), g, nl, q("Water withdrawal (m3) "), dots, nl, q("Water withdrawal (m3) "), blanks),
+        joined(q("What | In | How much"), nl, q("Water use | m³ | "), w, nl, q("Greenhouse gas emissions | t CO2e | "), g, nl, q("Energy use | M W h | "), e),
+        joined(q("The orchard had a dry year. Pumps ran long, and energy use (MWh) climbed to "), e, q(". "), nl, q("Ghg emissions (tCO2e) fell a little, to "), g, q(", since two tractors were sold. "), nl, q("The river board allows water withdrawal (m3) of "), w, q(" in all.")),
+        joined(q("Scan 12. Wat er with drawal (m3) of "), w, q("; En ergy con sumption (MWh) of "), e, q("; and Green house gas emis sions (tCO2e) of "), g, q(" at the quay.")),
+        joined(q("A bakery of two ovens. They burnt "), e, q(" kWh of power. By the meter, water use was "), w, q(" cubic meters. The baker guesses at 1.5 million tons CO2e.")),
+        joined(q("Notes from a quarry. Blasting and haulage cause greenhouse gas emissions of "), g, q(" tCO2e. "), nl, q("Energy use is metered in MWh! The meter stood at "), e, q(" in spring. "), nl, q("To lay the dust, water withdrawal was "), w, q(" m³.")),
     ]
     row = lambda *cells: d.arr(*cells)
     none = f"CAST(NULL AS {d.text})"
-    head = row(q("KPI"), q("Unit"), q("2024"))
-    ghg, energy, water = q("Total GHG emissions"), q("Total energy consumption"), q("Total water withdrawal")
-    named = [q("Total GHG emissions (tCO2e)"), q("Total energy consumption (MWh)"), q("Total water withdrawal (m3)")]
+    ghg, energy, water = q("Greenhouse gas emissions"), q("Yearly energy consumption"), q("Water withdrawal")
+    grid_ghg, grid_energy, grid_water = q("GHG emissions, total"), q("Energy consumption total (all mills)"), q("Water withdrawal, total")
+    year = row(q("Indicator"), q("2031"), q("Unit"), q("2030"))
     table = {
-        1: [d.arr(head, row(ghg, q("tCO2e"), g), row(energy, q("MWh"), e), row(water, q("m3"), w))],
-        2: [d.arr(head, row(named[0], q(""), g), row(named[1], q(""), e), row(named[2], none, w))],
-        3: [d.arr(row(q("KPI"), q("Value")), row(named[0], g), row(named[0], dots), row(named[0], blanks))],
-        4: [d.arr(row(q("Kennzahl"), q("Einheit"), q("2023"), q("Wert")), row(q("Treibhausgasemissionen gesamt"), q("t CO2e"), q("1"), g), row(q("Consommation totale d''énergie".replace("''", "'")), q("M W h"), q("2"), e), row(water, q("m³"), q("3"), w))],
-        7: [d.arr(head, row(q("Other KPI"), q("N/A"), q("")), row(ghg, none, g)), d.arr(head, row(ghg, q("tCO2e"), q("1")), row(energy, q(""), q("n.a.")), row(water, q("m³"), w))],
+        1: [d.arr(year, row(grid_water, w, q("m3"), q("8")), row(grid_ghg, g, q("tCO2e"), q("9")), row(grid_energy, e, q("MWh"), none))],
+        2: [d.arr(row(q("Metric"), q("Value")), row(joined(water, q(" (m3)")), w), row(joined(energy, q(" (MWh)")), e), row(joined(ghg, q(" (tCO2e)")), g))],
+        3: [d.arr(row(q("Indicateur"), q("Valeur")), row(q("Prélèvement total d'eau (m3)"), g), row(q("Water use (m3)"), dots), row(q("Water withdrawal (m3)"), blanks))],
+        4: [d.arr(row(q("Einheit"), q("Wert"), q("Kennzahl")), row(q("m³"), w, q("Gesamtwasserentnahme")), row(q("M W h"), e, q("Gesamtenergieverbrauch")), row(q("t CO2e"), g, q("Émissions totales de GES")))],
+        7: [d.arr(row(q("a"), q("b"), q("c")), row(q("Loaves"), q("-"), q("")), row(water, none, w)), d.arr(row(q("Metric"), q("Unit"), q("Value")), row(water, q("m3"), q("1")), row(energy, q(""), q("none yet")), row(ghg, q("tCO2e"), g))],
     }
     kind = f"{d.text}[][][]" if d is DUCK else "ARRAY<ARRAY<ARRAY<STRING>>>"
     empty = f"CAST({d.arr()} AS {kind})"
