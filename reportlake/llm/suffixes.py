@@ -1,4 +1,9 @@
-"""Removal of repeated byte strings, by prefix doubling over sampled suffixes.
+"""Removal of repeated byte strings, by names of growing prefixes of sampled suffixes.
+
+Prefix doubling in full, which sorts pairs of ranks of every position, does not
+fit the limits of disk and time; what follows keeps its frame (names of growing
+prefixes, Spark sorting, only what is in several documents goes on) but samples
+positions by their hashes, and has two lengths, 16 and 50, instead of pairs of ranks.
 
 A byte goes if a string of 50 bytes that covers it also starts in a document
 with a smaller id. Suffixes are named by hashes of growing prefixes; Spark
@@ -17,8 +22,10 @@ or has reached 50 bytes:
 
 Texts are stored once, bucketed by id, so what each round finds is joined to
 them without moving them again. Each round holds one row a suffix left; hot
-names are sorted and streamed, never gathered. What a round has shuffled is
-released before the next.
+names are sorted and streamed; of the one prefix that is streamed, a task holds
+the distinct names of 50 bytes it has met. What a round has shuffled is released
+before the next. Names are 64-bit hashes, so of n different strings about
+n * n / 2 ** 65 pairs are taken for equal; bytes are not compared.
 
 Null texts have no bytes. A null id has no smaller one: such rows stay whole
 and remove nothing elsewhere. Rows that share an id are one document for this
