@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reportlake.llm.common import drop, save
+
 #: verdict, host, path
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -43,8 +45,8 @@ COMMON = "www m blog news forum shop store com org net example html index page t
 PRIOR_BLOCK = 0.2
 EVIDENCE = 30  # examples that each word of the lists stands for
 SMOOTHING = 5  # examples of each class that every word is taken to have had before: a few hosts decide nothing
-LEXICON = 50_000  # words of the texts that hosts are split into, the most frequent
-VOCABULARY = 50_000  # words of labelled urls that have a weight, the most frequent
+LEXICON = 50_000  # words of the texts that hosts are split into, at most, the most frequent
+VOCABULARY = 50_000  # words of labelled urls that have a weight, at most, the most frequent
 LETTERS = re.compile(r"[a-z]+")
 LONGEST = 24  # characters of a word
 CACHE = 500_000
@@ -125,10 +127,25 @@ def words_in(text: Column) -> Column:
     return F.filter(F.split(F.lower(plain), "[^a-z]+"), lambda w: (w != "") & (F.length(w) <= LONGEST))
 
 
+def most_frequent(counts: DataFrame, n: str, rows: int) -> list:
+    """The rows of counts that are above some count, `rows` at most: no more than these, and a histogram, reach the driver."""
+    spark = counts.sparkSession
+    kept = save(spark, counts.withColumn("__level", F.floor(16 * F.log(n))), "counts")
+    left, least = rows, None
+    for level in sorted(kept.groupBy("__level").count().collect(), reverse=True):  # some hundred levels
+        left -= level["count"]
+        if left < 0:
+            break
+        least = level["__level"]
+    found = [] if least is None else kept.where(F.col("__level") >= least).collect()
+    drop(spark, kept)
+    return found
+
+
 def counted(texts: DataFrame, text: str) -> dict[str, int]:
     """How often each word is in all texts; of words seen more than once the most frequent, LEXICON at most."""
     found = texts.select(F.explode(words_in(texts[text])).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return {r["w"]: r["n"] for r in found.orderBy(F.desc("n"), "w").limit(LEXICON).collect()}
+    return {r["w"]: r["n"] for r in most_frequent(found, "n", LEXICON)}
 
 
 def splitter(cut: Segmenter):
@@ -170,7 +187,7 @@ def examples(urls: DataFrame, cut: Segmenter, *, url: str = "url", rules=RULES)
 def learn(some: DataFrame) -> dict[str, tuple[int, int]]:
     """How many hosts hold each word in blocked and in allowed examples; the most frequent words, VOCABULARY at most."""
     count = some.groupBy("word").agg(F.count_if(F.col("blocked")).alias("b"), F.count_if(~F.col("blocked")).alias("a"))
-    return {r["word"]: (r["b"], r["a"]) for r in count.orderBy(F.desc(F.col("a") + F.col("b")), "word").limit(VOCABULARY).collect()}
+    return {r["word"]: (r["b"], r["a"]) for r in most_frequent(count.withColumn("n", F.col("a") + F.col("b")), "n", VOCABULARY)}
 
 
 def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", text: str | None = "html", rules=RULES) -> DataFrame:
