@@ -38,7 +38,7 @@ OVERLAP = 128
 SIDE = OVERLAP // 2  # characters of a window, at a seam, that are the neighbour's
 ROUND = 32  # a text's last window is padded to a multiple of this
 COLUMNS = 1024  # windows that run together
-TOGETHER = 1_000_000  # characters that are cut into windows together
+TOGETHER = 4_000_000  # characters that are cut into windows together
 SIGNS = " @.-_+()=\":/,;[]%\n"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 PAD, DIGIT, UPPER, LETTER, OTHER = range(5)
@@ -345,16 +345,20 @@ def gains(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     some character. Beginnings are counted, ends are not.
     """
     begin, stay = ((v - trans[0, 0])[:, None] for v in (trans[0, 1:], np.diag(trans)[1:]))
-    gain = e[:, 1:] - e[:, :1]
-    on = gain + stay
-    through = np.cumsum(on, axis=0)
-    run = gain[0] + begin
+    gain = e[0, 1:] - e[0, :1]
+    through = gain + stay
+    run, up = gain + begin, through.copy()
     most = run.copy()
-    for now in gain[1:]:
-        run = np.maximum(run + stay, begin)
-        run += now
+    for now in e[1:]:
+        np.subtract(now[1:], now[:1], out=gain)
+        run += stay
+        np.maximum(run, begin, out=run)
+        run += gain
         np.maximum(most, run, out=most)
-    return through[-1], run, most, through.max(axis=0)
+        gain += stay
+        through += gain
+        np.maximum(up, through, out=up)
+    return through, run, most, up
 
 
 def parts_to_trace(of: np.ndarray, part: np.ndarray, found: tuple[np.ndarray, ...], end: np.ndarray) -> np.ndarray:
