@@ -21,11 +21,15 @@ or has reached 50 bytes:
    stand for, and the strings are named where equal prefixes meet.
 
 Texts are stored once, bucketed by id, so what each round finds is joined to
-them without moving them again. Each round holds one row a suffix left; hot
-names are sorted and streamed; of the one prefix that is streamed, a task holds
-the distinct names of 50 bytes it has met. What a round has shuffled is released
-before the next. Names are 64-bit hashes, so of n different strings about
-n * n / 2 ** 65 pairs are taken for equal; bytes are not compared.
+them without moving them again. Each round holds one row a suffix left. A name
+that several documents of one batch share is settled there: its rows go by
+document, but for those that other batches need (the smallest document's, and
+in step 2 the largest's), so a frequent name sends a few rows a batch to its
+task. Step 3 does so for prefixes whose surroundings are equal too; those with
+many different surroundings are sorted and streamed by one task, which holds
+the distinct names of 50 bytes it has met for the prefix. What a round has
+shuffled is released before the next. Names are 64-bit hashes, so of n different
+strings about n * n / 2 ** 65 pairs are taken for equal; bytes are not compared.
 
 Null texts have no bytes. A null id has no smaller one: such rows stay whole
 and remove nothing elsewhere. Rows that share an id are one document for this
@@ -136,16 +140,34 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def least_and_most(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the smallest and the largest document of those with its name."""
+    if not len(names):
+        return docs, docs
+    _, first, back = np.unique(names, return_index=True, return_inverse=True)
+    least, most = docs[first], docs[first]
+    np.minimum.at(least, back, docs)
+    np.maximum.at(most, back, docs)
+    return least[back], most[back]
+
+
+def _by_document(names: np.ndarray, docs: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Keys that deal rows: of sure ones by document, of others by name."""
+    return np.where(sure, mix(docs.view(np.uint64)), names)
+
+
 def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks: name (k, l), document, start and end; sure: a smaller document of the batch holds the block too."""
     for frame in frames:
-        ids = frame["doc_id"].to_numpy()
+        ids = frame["doc_id"].to_numpy(dtype=np.int64)
         for s in streams(_texts(frame)):
             a, b = s.cuts(s.grams())
             p = s.part[a]
             one = s.names(a, b)
             two = mix(s.names(a, a + GRAM) + s.names(b - GRAM, b) * P)
-            start = a - s.off[p] + s.base[p]
-            yield pd.DataFrame({"k": _signed(one), "l": _signed(two), "doc": ids[s.docs[p]], "s": start.astype(np.int32), "e": (start + b - a).astype(np.int32)})
+            start, doc = a - s.off[p] + s.base[p], ids[s.docs[p]]
+            sure = least_and_most(mix(one) + two, doc)[0] < doc
+            yield pd.DataFrame({"k": _signed(_by_document(one, doc, sure)), "l": _signed(two), "doc": doc, "s": start.astype(np.int32), "e": (start + b - a).astype(np.int32), "sure": sure})
 
 
 def _settled(s: Stream, intervals: list) -> np.ndarray:
@@ -162,23 +184,27 @@ def _settled(s: Stream, intervals: list) -> np.ndarray:
 
 
 def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The prefixes of 16 that stand for a string not settled: name, document, position."""
+    """The prefixes of 16 that stand for a string not settled: name, document, position; sure: other documents of the batch hold it, and tell other batches."""
     for frame in frames:
-        ids, settled = frame["doc_id"].to_numpy(), list(frame["blocks"])
+        ids, settled = frame["doc_id"].to_numpy(dtype=np.int64), list(frame["blocks"])
         for s in streams(_texts(frame)):
             grams = s.grams()
             open_ = np.flatnonzero(s.ok & ~_settled(s, settled))
             at = s.minima(grams)[open_]
             at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at  # they never go back
             p = s.part[at]
-            yield pd.DataFrame({"k": _signed(grams[at]), "doc": ids[s.docs[p]], "at": (at - s.off[p] + s.base[p]).astype(np.int32)})
+            doc = ids[s.docs[p]]
+            least, most = least_and_most(grams[at], doc)
+            sure = (least < doc) & (doc < most)
+            yield pd.DataFrame({"k": _signed(_by_document(grams[at], doc, sure)), "doc": doc, "at": (at - s.off[p] + s.base[p]).astype(np.int32), "sure": sure})
 
 
 def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Prefixes of 16 that are in several documents, with what stands around them.
 
     around: how many bytes there are to the left and right, 34 at most, then
-    those bytes, left and right, each filled to 34.
+    those bytes, left and right, each filled to 34. The bytes are left out where
+    a smaller document of the batch has the same prefix and the same around it.
     """
     pad = np.zeros(SIDE, dtype=np.uint8)
 
@@ -194,8 +220,12 @@ def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.lib.stride_tricks.sliding_window_view(raw, SIDE + GRAM + SIDE)[place - SIDE]
         rows[:, 2 : 2 + SIDE], rows[:, 2 + SIDE :] = seen[:, :SIDE], seen[:, SIDE + GRAM :]
         name = mix((LETTERS[seen[:, SIDE : SIDE + GRAM]] * WEIGHTS[:GRAM]).sum(axis=1, dtype=np.uint64))
+        doc = np.repeat(np.array([p[0] for p in parts], dtype=np.int64), counts)
+        alike = mix(name + (LETTERS[rows] * WEIGHTS[: rows.shape[1]]).sum(axis=1, dtype=np.uint64))
+        sure = least_and_most(alike, doc)[0] < doc
         whole, size = rows.tobytes(), rows.shape[1]
-        return pd.DataFrame({"k": _signed(name), "doc": np.repeat(np.array([p[0] for p in parts], dtype=np.int64), counts), "at": at.astype(np.int32), "around": [whole[i : i + size] for i in range(0, len(whole), size)]})
+        around = [whole[i : i + (2 if known else size)] for i, known in zip(range(0, len(whole), size), sure.tolist())]
+        return pd.DataFrame({"k": _signed(_by_document(name, doc, sure)), "doc": doc, "at": at.astype(np.int32), "around": around})
 
     for frame in frames:
         held, rows = [], 0
@@ -217,6 +247,13 @@ def seen_strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     last, known, first = None, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     x = np.arange(SIDE + 1)  # how far before its prefix a string starts
     for frame in frames:
+        told = np.fromiter(map(len, frame["around"]), np.int64, len(frame)) == 2
+        if told.any():  # all strings that the prefix stands for are known to be in a smaller document
+            counts = np.frombuffer(b"".join(frame["around"][told]), dtype=np.uint8).reshape(-1, 2).astype(np.int64)
+            at, whole = frame["at"].to_numpy(dtype=np.int64)[told], counts.sum(axis=1) >= SIDE
+            s, e = (at - counts[:, 0])[whole], (at + GRAM + counts[:, 1])[whole]
+            yield pd.DataFrame({"doc": frame["doc"].to_numpy()[told][whole], "s": s.astype(np.int32), "e": e.astype(np.int32)})
+            frame = frame[~told]
         if not len(frame):
             continue
         k, doc, at = (frame[c].to_numpy() for c in ("k", "doc", "at"))
@@ -272,10 +309,10 @@ def results(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def _several(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _extremes(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with the smallest and largest document that share their name."""
     w = Window.partitionBy(*keys)
-    return rows.withColumn("least", F.min("doc").over(w)).withColumn("most", F.max("doc").over(w)).where("least < most")
+    return rows.withColumn("least", F.min("doc").over(w)).withColumn("most", F.max("doc").over(w))
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -285,8 +322,8 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (BUCKET_MB << 20)))
     spans = F.flatten(F.collect_list(F.array("s", "e")))
-    found = source.where("doc_id is not null").mapInPandas(blocks, "k long, l long, doc long, s int, e int")
-    found = _several(found, ["k", "l"]).where("least < doc").groupBy("doc").agg(spans.alias("blocks"))
+    found = source.where("doc_id is not null").mapInPandas(blocks, "k long, l long, doc long, s int, e int, sure boolean")
+    found = _extremes(found, ["k", "l"]).where("sure or least < doc").groupBy("doc").agg(spans.alias("blocks"))
     name = f"suffixes_{uuid.uuid4().hex}"
     placed = source.join(found, source["doc_id"] == found["doc"], "left").select("doc_id", "text", "blocks").repartition(n, "doc_id")
     placed.write.bucketBy(n, "doc_id").sortBy("doc_id").option("compression", "zstd").saveAsTable(name)
@@ -294,8 +331,8 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     try:
         del found, placed
         release(spark)
-        prefixes = stored.where("doc_id is not null").mapInPandas(anchors, "k long, doc long, at int")
-        left = save(spark, _several(prefixes, ["k"]).groupBy("doc").agg(F.collect_list("at").alias("anchors")), "anchors")
+        prefixes = stored.where("doc_id is not null").mapInPandas(anchors, "k long, doc long, at int, sure boolean")
+        left = save(spark, _extremes(prefixes, ["k"]).where("sure or least < most").groupBy("doc").agg(F.collect_list("at").alias("anchors")), "anchors")
         del prefixes
         release(spark)
         around = stored.join(left, stored["doc_id"] == left["doc"]).select("doc_id", "text", "anchors").mapInPandas(contexts, "k long, doc long, at int, around binary")

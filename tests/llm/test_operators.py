@@ -369,6 +369,21 @@ def test_suffixes_equal_brute_force(spark, odd, none):
         assert got == want
 
 
+def test_suffixes_settled_in_batches(spark):
+    """A passage, exact copies and periodic texts in many documents, in batches that see a few of them each."""
+    rng = random.Random(8)
+    made = lambda n: "".join(rng.choice("abcdefé ") for _ in range(n))
+    passage, common, whole = made(120), made(60), made(900)
+    texts = [whole if i % 9 == 4 else made(rng.randint(0, 80)) + rng.choice([passage, common, common[:45], "ab" * 40]) + made(rng.randint(0, 80)) for i in range(150)]
+    rows = [(i * 7919 % 150 - 60, t) for i, t in enumerate(texts)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "6")
+    try:
+        found = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == brute.repeats(rows)
+
+
 def test_suffixes_in_parts_of_long_texts(monkeypatch):
     text = random.Random(1).randbytes(5000)
     monkeypatch.setattr(suffixes, "PIECE", 700)
