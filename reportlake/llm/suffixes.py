@@ -23,9 +23,9 @@ or has reached 50 bytes:
 Texts are stored once, bucketed by id, so what each round finds is joined to
 them without moving them again. Each round holds one row a suffix left. A name
 that several documents of one batch share is settled there: its rows go by
-document, but for those that other batches need (the smallest document's, and
-in step 2 the largest's), so a frequent name sends a few rows a batch to its
-task. Step 3 does so for prefixes whose surroundings are equal too; those with
+document, but for those that other batches need (the smallest document's; in
+step 2 one of it and one of the largest), so a frequent name sends a few rows a
+batch to its task. Step 3 does so for prefixes whose surroundings are equal too; those with
 many different surroundings are sorted and streamed by one task, which holds
 the distinct names of 50 bytes it has met for the prefix. What a round has
 shuffled is released before the next. Names are 64-bit hashes, so of n different
@@ -157,7 +157,7 @@ def _by_document(names: np.ndarray, docs: np.ndarray, sure: np.ndarray) -> np.nd
 
 
 def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks: name (k, l), document, start and end; sure: a smaller document of the batch holds the block too."""
+    """Blocks: name (k, l), document, start and end; the start's complement where a smaller document of the batch holds the block too."""
     for frame in frames:
         ids = frame["doc_id"].to_numpy(dtype=np.int64)
         for s in streams(_texts(frame)):
@@ -167,7 +167,7 @@ def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             two = mix(s.names(a, a + GRAM) + s.names(b - GRAM, b) * P)
             start, doc = a - s.off[p] + s.base[p], ids[s.docs[p]]
             sure = least_and_most(mix(one) + two, doc)[0] < doc
-            yield pd.DataFrame({"k": _signed(_by_document(one, doc, sure)), "l": _signed(two), "doc": doc, "s": start.astype(np.int32), "e": (start + b - a).astype(np.int32), "sure": sure})
+            yield pd.DataFrame({"k": _signed(_by_document(one, doc, sure)), "l": _signed(two), "doc": doc, "s": np.where(sure, ~start, start).astype(np.int32), "e": (start + b - a).astype(np.int32)})
 
 
 def _settled(s: Stream, intervals: list) -> np.ndarray:
@@ -184,7 +184,7 @@ def _settled(s: Stream, intervals: list) -> np.ndarray:
 
 
 def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The prefixes of 16 that stand for a string not settled: name, document, position; sure: other documents of the batch hold it, and tell other batches."""
+    """The prefixes of 16 that stand for a string not settled: name, document, position; its complement where other rows of the batch show that several documents hold it."""
     for frame in frames:
         ids, settled = frame["doc_id"].to_numpy(dtype=np.int64), list(frame["blocks"])
         for s in streams(_texts(frame)):
@@ -195,8 +195,12 @@ def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             p = s.part[at]
             doc = ids[s.docs[p]]
             least, most = least_and_most(grams[at], doc)
-            sure = (least < doc) & (doc < most)
-            yield pd.DataFrame({"k": _signed(_by_document(grams[at], doc, sure)), "doc": doc, "at": (at - s.off[p] + s.base[p]).astype(np.int32), "sure": sure})
+            sure = least < most
+            ends = np.flatnonzero(sure & ((doc == least) | (doc == most)))
+            _, one = np.unique(mix(grams[at][ends] + mix(doc[ends].view(np.uint64))), return_index=True)
+            sure[ends[one]] = False  # a row of the smallest and one of the largest document go by name, for other batches
+            place = at - s.off[p] + s.base[p]
+            yield pd.DataFrame({"k": _signed(_by_document(grams[at], doc, sure)), "doc": doc, "at": np.where(sure, ~place, place).astype(np.int32)})
 
 
 def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -322,8 +326,8 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (BUCKET_MB << 20)))
     spans = F.flatten(F.collect_list(F.array("s", "e")))
-    found = source.where("doc_id is not null").mapInPandas(blocks, "k long, l long, doc long, s int, e int, sure boolean")
-    found = _extremes(found, ["k", "l"]).where("sure or least < doc").groupBy("doc").agg(spans.alias("blocks"))
+    found = source.where("doc_id is not null").mapInPandas(blocks, "k long, l long, doc long, s int, e int")
+    found = _extremes(found, ["k", "l"]).where("s < 0 or least < doc").withColumn("s", F.greatest("s", F.bitwise_not("s"))).groupBy("doc").agg(spans.alias("blocks"))
     name = f"suffixes_{uuid.uuid4().hex}"
     placed = source.join(found, source["doc_id"] == found["doc"], "left").select("doc_id", "text", "blocks").repartition(n, "doc_id")
     placed.write.bucketBy(n, "doc_id").sortBy("doc_id").option("compression", "zstd").saveAsTable(name)
@@ -331,8 +335,8 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     try:
         del found, placed
         release(spark)
-        prefixes = stored.where("doc_id is not null").mapInPandas(anchors, "k long, doc long, at int, sure boolean")
-        left = save(spark, _extremes(prefixes, ["k"]).where("sure or least < most").groupBy("doc").agg(F.collect_list("at").alias("anchors")), "anchors")
+        prefixes = stored.where("doc_id is not null").mapInPandas(anchors, "k long, doc long, at int")
+        left = save(spark, _extremes(prefixes, ["k"]).where("at < 0 or least < most").groupBy("doc").agg(F.collect_list(F.greatest("at", F.bitwise_not("at"))).alias("anchors")), "anchors")
         del prefixes
         release(spark)
         around = stored.join(left, stored["doc_id"] == left["doc"]).select("doc_id", "text", "anchors").mapInPandas(contexts, "k long, doc long, at int, around binary")
