@@ -25,9 +25,12 @@ them without moving them again. Each round holds one row a suffix left. A name
 that several documents of one batch share is settled there: its rows go by
 document, but for those that other batches need (the smallest document's; in
 step 2 one of it and one of the largest), so a frequent name sends a few rows a
-batch to its task. Step 3 does so for prefixes whose surroundings are equal too; those with
-many different surroundings are sorted and streamed by one task, which holds
-the distinct names of 50 bytes it has met for the prefix. What a round has
+batch to its task. Step 3 does so for prefixes whose surroundings are equal too.
+The others of a prefix are sorted and streamed by one task, which holds the
+distinct names of 50 bytes it has met for the prefix; so prefixes that occur
+often are parted first (PARTS): strings of 50 bytes that begin a to b bytes
+before the prefix all hold the a bytes to its left and the 34 - b to its right,
+which go into the key, up to a key for each string. What a round has
 shuffled is released before the next. Names are 64-bit hashes, so of n different
 strings about n * n / 2 ** 65 pairs are taken for equal; bytes are not compared.
 
@@ -46,10 +49,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import drop, release, save
+from reportlake.llm.common import broadcast_if_small, drop, release, save
 from reportlake.llm.minhash import mix
 
 LENGTH = 50
@@ -59,10 +62,16 @@ BLOCK = 256  # bytes between cuts, on average
 PIECE = 1 << 20  # bytes of a stream of documents, or of a part of a long one
 BUCKET_MB = 24
 SIDE = LENGTH - GRAM
+#: From how many occurrences on a prefix is parted, and into how many ranges of starts; below, it is whole.
+PARTS = ((1 << 17, 5), (1 << 20, SIDE + 1))
+SURE = 63  # where the logarithm of a count stands: other rows of the batch show what is asked
+RANGED = 2 + 2 * SIDE + 2  # bytes of a context with a range of starts
+WHOLE = bytes([0, SIDE])
 LOW = np.uint64((1 << 22) - 1)
 P = np.uint64(0xD6E8FEB86659FD93)
 Q = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 LETTERS = mix(np.arange(1, 257, dtype=np.uint64))
+POWERS = np.multiply.accumulate(np.array([1] + [P] * (GRAM - 1), dtype=np.uint64))
 WEIGHTS = mix(np.arange(1001, 1001 + 2 * LENGTH, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -184,7 +193,12 @@ def _settled(s: Stream, intervals: list) -> np.ndarray:
 
 
 def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The prefixes of 16 that stand for a string not settled: name, document, position; its complement where other rows of the batch show that several documents hold it."""
+    """The prefixes of 16 that stand for a string not settled: name, document, position.
+
+    Above the position's 32 bits: SURE where other rows of the batch show that
+    several documents hold it, else the logarithm of how many rows of the
+    batch, rounded up, the row stands for when the name is counted.
+    """
     for frame in frames:
         ids, settled = frame["doc_id"].to_numpy(dtype=np.int64), list(frame["blocks"])
         for s in streams(_texts(frame)):
@@ -199,8 +213,13 @@ def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ends = np.flatnonzero(sure & ((doc == least) | (doc == most)))
             _, one = np.unique(mix(grams[at][ends] + mix(doc[ends].view(np.uint64))), return_index=True)
             sure[ends[one]] = False  # a row of the smallest and one of the largest document go by name, for other batches
+            rows = np.flatnonzero(~sure)
+            _, first = np.unique(grams[at][rows], return_index=True)
+            _, counts = np.unique(grams[at], return_counts=True)  # the same names: each has a row that is not sure
+            level = np.where(sure, SURE, 0)
+            level[rows[first]] = np.ceil(np.log2(counts)).astype(np.int64)
             place = at - s.off[p] + s.base[p]
-            yield pd.DataFrame({"k": _signed(_by_document(grams[at], doc, sure)), "doc": doc, "at": np.where(sure, ~place, place).astype(np.int32)})
+            yield pd.DataFrame({"k": _signed(_by_document(grams[at], doc, sure)), "doc": doc, "at": place | level << 32})
 
 
 def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +242,7 @@ def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows[:, 0], rows[:, 1] = np.minimum(at, SIDE), np.minimum(n - at - GRAM, SIDE)
         seen = np.lib.stride_tricks.sliding_window_view(raw, SIDE + GRAM + SIDE)[place - SIDE]
         rows[:, 2 : 2 + SIDE], rows[:, 2 + SIDE :] = seen[:, :SIDE], seen[:, SIDE + GRAM :]
-        name = mix((LETTERS[seen[:, SIDE : SIDE + GRAM]] * WEIGHTS[:GRAM]).sum(axis=1, dtype=np.uint64))
+        name = mix((LETTERS[seen[:, SIDE : SIDE + GRAM]] * POWERS).sum(axis=1, dtype=np.uint64))  # as in anchors
         doc = np.repeat(np.array([p[0] for p in parts], dtype=np.int64), counts)
         alike = mix(name + (LETTERS[rows] * WEIGHTS[: rows.shape[1]]).sum(axis=1, dtype=np.uint64))
         sure = least_and_most(alike, doc)[0] < doc
@@ -247,7 +266,7 @@ def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def seen_strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From contexts sorted by name and document, the runs (s, e) of bytes whose strings a smaller document holds."""
+    """From contexts (whole, or parted and then with the range of starts behind) sorted by name and document, the runs (s, e) of bytes whose strings a smaller document holds."""
     last, known, first = None, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     x = np.arange(SIDE + 1)  # how far before its prefix a string starts
     for frame in frames:
@@ -261,12 +280,12 @@ def seen_strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(frame):
             continue
         k, doc, at = (frame[c].to_numpy() for c in ("k", "doc", "at"))
-        rows = np.frombuffer(b"".join(frame["around"]), dtype=np.uint8).reshape(len(frame), -1)
+        rows = np.frombuffer(b"".join(r if len(r) == RANGED else r + WHOLE for r in frame["around"]), dtype=np.uint8).reshape(len(frame), RANGED)
         zero = np.zeros((len(frame), 1), dtype=np.uint64)
         left = np.concatenate([zero, np.cumsum((LETTERS[rows[:, 2 : 2 + SIDE]] * WEIGHTS[:SIDE])[:, ::-1], axis=1, dtype=np.uint64)], axis=1)
-        right = np.concatenate([zero, np.cumsum(LETTERS[rows[:, 2 + SIDE :]] * WEIGHTS[SIDE : 2 * SIDE], axis=1, dtype=np.uint64)], axis=1)
+        right = np.concatenate([zero, np.cumsum(LETTERS[rows[:, 2 + SIDE : -2]] * WEIGHTS[SIDE : 2 * SIDE], axis=1, dtype=np.uint64)], axis=1)
         name = mix(left[:, x] + right[:, SIDE - x] + mix(k.view(np.uint64))[:, None] + WEIGHTS[x])
-        ok = (x <= rows[:, :1]) & (SIDE - x <= rows[:, 1:2])
+        ok = (x <= rows[:, :1]) & (SIDE - x <= rows[:, 1:2]) & (x >= rows[:, -2:-1]) & (x <= rows[:, -1:])
         # rows come by document, so a name's first occurrence is its smallest document; the last prefix may go on from the batch before
         before = known if last == k[0] else known[:0]
         flat, of = np.concatenate([before, name[ok]]), np.concatenate([first[: len(before)], np.broadcast_to(doc[:, None], ok.shape)[ok]])
@@ -319,8 +338,34 @@ def _extremes(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("least", F.min("doc").over(w)).withColumn("most", F.max("doc").over(w))
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (starts and ends of removed runs, in bytes) of every row."""
+def ranges(parts: int) -> list[tuple[int, int]]:
+    """How far before its prefix a string starts, in so many ranges, ends included."""
+    edges = [(SIDE + 1) * i // parts for i in range(parts + 1)]
+    return [(a, b - 1) for a, b in zip(edges, edges[1:])]
+
+
+def parted(around: DataFrame, often: DataFrame, parts: tuple) -> DataFrame:
+    """Contexts of prefixes that are in often(k, n) go by key and range, once a range that has a string; the rest stays."""
+    joined = around.join(broadcast_if_small(often), "k", "left")
+
+    def cut(a: int, b: int) -> Column:
+        left, right = (F.expr(f"substring(around, {at}, {n})") for at, n in ((3 + SIDE - a, a), (3 + SIDE, SIDE - b)))
+        key = F.xxhash64("k", F.lit(a), left, right)
+        counts = [F.conv(F.hex(F.expr(f"substring(around, {i}, 1)")), 16, 10).cast("int") for i in (1, 2)]
+        fits = (counts[0] >= a) & (counts[1] >= SIDE - b)
+        # a key of one string tells it from all others, without the bytes around it
+        kept = F.concat(F.expr("substring(around, 1, 2)"), F.lit(bytes(2 * SIDE))) if a == b else F.col("around")
+        return F.when(fits, F.struct(key.alias("k"), F.concat(kept, F.lit(bytes([a, b]))).alias("around")))
+
+    one = F.array(F.struct("k", "around"))
+    rows = one
+    for least, n in sorted(parts):
+        rows = F.when((F.col("n") >= least) & (F.octet_length("around") > 2), F.array_compact(F.array(*[cut(a, b) for a, b in ranges(n)]))).otherwise(rows)
+    return joined.select("doc", "at", F.explode(rows).alias("r")).select("r.k", "doc", "at", "r.around")
+
+
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", parts: tuple = PARTS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (starts and ends of removed runs, in bytes) of every row. parts: as PARTS."""
     spark: SparkSession = docs.sparkSession
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -335,12 +380,17 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     try:
         del found, placed
         release(spark)
-        prefixes = stored.where("doc_id is not null").mapInPandas(anchors, "k long, doc long, at int")
-        left = save(spark, _extremes(prefixes, ["k"]).where("at < 0 or least < most").groupBy("doc").agg(F.collect_list(F.greatest("at", F.bitwise_not("at"))).alias("anchors")), "anchors")
-        del prefixes
+        prefixes = stored.where("doc_id is not null").mapInPandas(anchors, "k long, doc long, at long").withColumn("level", F.shiftright("at", 32).cast("int"))
+        rows = F.sum(F.expr(f"if(level < {SURE}, shiftleft(1L, level), 0L)")).over(Window.partitionBy("k"))
+        several = _extremes(prefixes, ["k"]).withColumn("n", rows).where(f"level = {SURE} or least < most")
+        often = F.when((F.col("level") < SURE) & (F.col("n") >= min(least for least, _ in parts)), F.struct("k", "n"))
+        place = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        left = save(spark, several.groupBy("doc").agg(F.collect_list(place).alias("anchors"), F.collect_list(often).alias("often")), "anchors")
+        del prefixes, several
         release(spark)
         around = stored.join(left, stored["doc_id"] == left["doc"]).select("doc_id", "text", "anchors").mapInPandas(contexts, "k long, doc long, at int, around binary")
-        dealt = around.repartition("k").sortWithinPartitions("k", "doc").mapInPandas(seen_strings, "doc long, s int, e int")
+        often = left.select(F.explode("often").alias("o")).select("o.k", "o.n").distinct()
+        dealt = parted(around, often, parts).repartition("k").sortWithinPartitions("k", "doc").mapInPandas(seen_strings, "doc long, s int, e int")
         seen = save(spark, dealt.groupBy("doc").agg(spans.alias("strings")), "strings")
         del around, dealt
         release(spark)

@@ -384,6 +384,30 @@ def test_suffixes_settled_in_batches(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == brute.repeats(rows)
 
 
+def test_suffixes_of_frequent_prefixes_are_parted(spark):
+    """One phrase in all documents, in surroundings that differ, that are equal on one side, and that are equal on both."""
+    assert [suffixes.ranges(n) for n in (1, 2)] == [[(0, 34)], [(0, 16), (17, 34)]] and suffixes.ranges(35) == [(i, i) for i in range(35)]
+    rng = random.Random(5)
+    made = lambda n: "".join(rng.choice("abcdefé ") for _ in range(n))
+    sides = [made(40) for _ in range(3)]
+    phrase = "frequent phrase of all"
+    side = lambda: rng.choice([*sides, *(s[:20] + made(9) for s in sides), *(made(9) + s[-20:] for s in sides), made(rng.randint(0, 50))])
+    rows = [(i * 7919 % 140 - 60, side() + phrase + side() + ("" if i % 3 else made(30) + phrase)) for i in range(140)]
+    want = brute.repeats(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for parts in (((1, 2),), ((1, 35),), ((4, 5), (40, 35))):
+            found = suffixes.remove_repeats(frame, parts=parts).collect()
+            assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    context = bytes([34, 34]) + bytes(rng.randrange(256) for _ in range(68))
+    around = spark.createDataFrame([(1, 5, 9, bytearray(context)), (2, 6, 9, bytearray(context)), (1, 7, 9, bytearray([34, 34])), (1, 8, 9, bytearray([3, 33] + [0] * 68))], "k long, doc long, at int, around binary")
+    some = suffixes.parted(around, spark.createDataFrame([(1, 50)], "k long, n long"), ((40, 35),)).groupBy("doc").agg(F.count_distinct("k").alias("keys"), F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, some.collect())) == [(5, 35, 35), (6, 1, 1), (7, 1, 1), (8, 3, 3)]
+
+
 def test_suffixes_in_parts_of_long_texts(monkeypatch):
     text = random.Random(1).randbytes(5000)
     monkeypatch.setattr(suffixes, "PIECE", 700)
