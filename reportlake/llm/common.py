@@ -35,14 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def save(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+def save(spark: SparkSession, df: DataFrame, label: str, **options) -> DataFrame:
+    """Write df to the shared folder, with options of its files, and read it back: cuts lineage, survives lost executors.
 
     The table is deleted by drop(), or when the program ends.
     """
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _left[path] = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out

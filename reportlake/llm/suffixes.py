@@ -67,6 +67,7 @@ PARTS = ((1 << 17, 5), (1 << 20, SIDE + 1))
 SURE = 63  # where the logarithm of a count stands: other rows of the batch show what is asked
 RANGED = 2 + 2 * SIDE + 2  # bytes of a context with a range of starts
 WHOLE = bytes([0, SIDE])
+FILES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
 LOW = np.uint64((1 << 22) - 1)
 P = np.uint64(0xD6E8FEB86659FD93)
 Q = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -375,7 +376,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     found = _extremes(found, ["k", "l"]).where("s < 0 or least < doc").withColumn("s", F.greatest("s", F.bitwise_not("s"))).groupBy("doc").agg(spans.alias("blocks"))
     name = f"suffixes_{uuid.uuid4().hex}"
     placed = source.join(found, source["doc_id"] == found["doc"], "left").select("doc_id", "text", "blocks").repartition(n, "doc_id")
-    placed.write.bucketBy(n, "doc_id").sortBy("doc_id").option("compression", "zstd").saveAsTable(name)
+    placed.write.bucketBy(n, "doc_id").sortBy("doc_id").options(**FILES).saveAsTable(name)
     stored = spark.table(name)
     try:
         del found, placed
@@ -385,17 +386,17 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         several = _extremes(prefixes, ["k"]).withColumn("n", rows).where(f"level = {SURE} or least < most")
         often = F.when((F.col("level") < SURE) & (F.col("n") >= min(least for least, _ in parts)), F.struct("k", "n"))
         place = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-        left = save(spark, several.groupBy("doc").agg(F.collect_list(place).alias("anchors"), F.collect_list(often).alias("often")), "anchors")
+        left = save(spark, several.groupBy("doc").agg(F.collect_list(place).alias("anchors"), F.collect_list(often).alias("often")), "anchors", **FILES)
         del prefixes, several
         release(spark)
         around = stored.join(left, stored["doc_id"] == left["doc"]).select("doc_id", "text", "anchors").mapInPandas(contexts, "k long, doc long, at int, around binary")
         often = left.select(F.explode("often").alias("o")).select("o.k", "o.n").distinct()
         dealt = parted(around, often, parts).repartition("k").sortWithinPartitions("k", "doc").mapInPandas(seen_strings, "doc long, s int, e int")
-        seen = save(spark, dealt.groupBy("doc").agg(spans.alias("strings")), "strings")
+        seen = save(spark, dealt.groupBy("doc").agg(spans.alias("strings")), "strings", **FILES)
         del around, dealt
         release(spark)
         joined = stored.join(seen, stored["doc_id"] == seen["doc"], "left").select(F.col("doc_id").cast("string"), "text", "blocks", "strings")  # beside a null, a number would be rounded
-        out = save(spark, joined.mapInPandas(results, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<int>").withColumn("doc_id", F.col("doc_id").cast("long")), "kept")
+        out = save(spark, joined.mapInPandas(results, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<int>").withColumn("doc_id", F.col("doc_id").cast("long")), "kept", **FILES)
         drop(spark, left, seen)
         return out
     finally:
