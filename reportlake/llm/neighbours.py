@@ -9,10 +9,14 @@ code within the radius; only pairs so met are compared, first by their codes,
 then by the cosine of the original vectors.
 
 1. Substrings of 16 bits, and values that differ in one bit: lists keyed by
-   substring and value, joined with the probes; long lists are salted. A pair is
-   kept at the first substring that lets it meet. This finds all codes within
-   31 bits. A query is done if its last neighbour is nearer than the cosine
-   (`sure`) from which on vectors lie within that radius but for a small share.
+   substring and value, joined with the probes. A pair is kept at the first
+   substring that lets it meet. Long lists, of groups of near vectors, are not
+   joined: their rows are dealt into cells, each row into one, and a query
+   visits the cells of the rows in its long lists, which are searched in blocks
+   as in 2. So a group's pairs are compared once, not once a substring, and
+   only a query's best leave its cell. This finds all codes within 31 bits. A
+   query is done if its last neighbour is nearer than the cosine (`sure`) from
+   which on vectors lie within that radius but for a small share.
 2. The other queries need a radius too wide for lists of probes to be written
    out. Queries and rows are dealt into a grid of blocks; a block of queries is
    indexed by substrings of eight bits, as a bit set of queries for each value,
@@ -49,10 +53,12 @@ SAMPLE_MB = 64  # of their vectors together
 ROUNDS = 15
 MISSED = 0.02  # of the sample's neighbours that may lie beyond the radius
 SUBSTRINGS = 16  # of the first search
-LIST = 5000  # rows of a list that are joined as one
+LIST = 100  # rows of a list that is joined, at most
+UNEVEN = 16  # times the mean list that a list may be long and yet joined
 QUERIES = 16_384  # of a block
 ROWS = 65_536  # of a block
 PAIRS = 2_000_000  # of queries and rows that are probed together
+NUMBERS = 8_000_000  # of vectors that are compared together
 BEST = 5
 
 
@@ -147,7 +153,8 @@ class Search:
         near = hamming(codes[a], self.codes[b]) <= self.radius
         a, b = a[near], b[near]
         self.q = np.concatenate([self.q, b])
-        self.s = np.concatenate([self.s, np.einsum("ij,ij->i", units[a], self.unit[b])])
+        step = max(1, NUMBERS // units.shape[1])
+        self.s = np.concatenate([self.s, *(np.einsum("ij,ij->i", units[a[i : i + step]], self.unit[b[i : i + step]]) for i in range(0, len(a), step))])
         self.r = np.concatenate([self.r, ids[a]])
         if len(self.q) > 400_000:
             self.reduce()
@@ -186,15 +193,32 @@ def encoded(rows: DataFrame, index: Index) -> DataFrame:
     return rows.select("*", encode.asNondeterministic()("v").alias("e")).select("*", "e.*").drop("e")
 
 
-def substring_search(index_rows: DataFrame, queries: DataFrame, best: int) -> DataFrame:
-    """q, vec_id, score of all pairs within the first radius, by lists keyed by substring and value."""
+def cells(lists: DataFrame, long: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """row, cell of each row in a long list; j, value, cell of the long lists and the cells their rows lie in.
+
+    A row's cell is the longest list that it, or a row of one of its long lists, lies in: so a group makes few cells.
+    """
+    held = lists.join(long, ["j", "value"]).select("row", "j", "value", F.struct("count", "j", "value").alias("key"))
+    own = held.groupBy("row").agg(F.max("key").alias("most"))
+    of_list = broadcast_if_small(save(lists.sparkSession, held.join(own, "row").groupBy("j", "value").agg(F.max("most").alias("most")), "lists"))
+    of_row = held.join(of_list, ["j", "value"]).groupBy("row").agg(F.max("most").alias("most"))
+    of_row = save(lists.sparkSession, of_row.select("row", (F.col("most.j").cast("long") * (1 << 16) + F.col("most.value")).alias("cell")), "cells")
+    return of_row, save(lists.sparkSession, held.join(of_row, "row").select("j", "value", "cell").distinct(), "reached")
+
+
+def substring_search(index_rows: DataFrame, queries: DataFrame, best: int, few: bool = False) -> DataFrame:
+    """q, vec_id, score of all pairs within the first radius, by lists keyed by substring and value; with `few`, of a cell only what can be among the best."""
+    spark = index_rows.sparkSession
     lists = index_rows.select("row", "c", F.posexplode("sub").alias("j", "value"))
     probes = queries.select(F.col("k").alias("q"), F.col("c").alias("qc"), F.posexplode("sub").alias("j", "near"))
     probes = probes.select("q", "qc", "j", F.explode(F.array(F.col("near"), *[F.col("near").bitwiseXOR(1 << b) for b in range(16)])).alias("value"))
-    hot = lists.groupBy("j", "value").count().where(F.col("count") > LIST).select("j", "value", F.ceil(F.col("count") / LIST).alias("parts"))
-    hot = broadcast_if_small(save(index_rows.sparkSession, hot, "lists"))
-    lists = lists.join(hot, ["j", "value"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0)))
-    probes = probes.join(hot, ["j", "value"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0)).cast("long"))))
+    most = max(LIST, UNEVEN * index_rows.count() >> 16)
+    long = broadcast_if_small(save(spark, lists.groupBy("j", "value").count().where(F.col("count") > most), "lists"))
+    grouped = bool(long.take(1))
+    if grouped:
+        of_row, reached = cells(lists, long)
+        visits = save(spark, probes.join(broadcast_if_small(reached), ["j", "value"]).select("q", "cell").distinct(), "visits")
+        lists, probes = (x.join(long, ["j", "value"], "left_anti") for x in (lists, probes))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -205,7 +229,9 @@ def substring_search(index_rows: DataFrame, queries: DataFrame, best: int) -> Da
                 frame = frame[(apart.sum(axis=1) <= first_radius()) & (first == frame["j"].to_numpy())]
             yield frame[["q", "row"]]
 
-    met = probes.drop("parts").join(lists.drop("parts"), ["j", "value", "salt"]).select("q", "row", "j", "c", "qc").mapInPandas(run, "q long, row long")
+    met = probes.join(lists, ["j", "value"]).select("q", "row", "j", "c", "qc").mapInPandas(run, "q long, row long")
+    if grouped:  # pairs that a cell holds are found there
+        met = met.join(of_row, "row", "left").join(visits, ["q", "cell"], "left_anti")
 
     def cosines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -214,20 +240,34 @@ def substring_search(index_rows: DataFrame, queries: DataFrame, best: int) -> Da
                 yield frame[["q", "vec_id", "score"]]
 
     both = met.join(index_rows.select("row", F.col("k").alias("vec_id"), "u"), "row").join(queries.select(F.col("k").alias("q"), F.col("u").alias("qu")), "q")
-    return both.select("q", "vec_id", "u", "qu").mapInPandas(cosines, "q long, vec_id long, score double")
+    found = both.select("q", "vec_id", "u", "qu").mapInPandas(cosines, "q long, vec_id long, score double")
+    if not grouped:
+        return found
+    blocks = of_row.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / ROWS).alias("n_rows")).join(visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("n_queries")), "cell")
+    blocks = broadcast_if_small(save(spark, blocks, "blocks"))
+    rows = index_rows.join(of_row.join(blocks, "cell"), "row")
+    asked = queries.join(visits.join(blocks, "cell"), queries["k"] == visits["q"])
+    bits = Index(0, np.zeros(0), np.zeros((0, BITS)), first_radius())  # only their number counts here
+    return found.unionByName(in_blocks(rows, asked, bits, first_radius(), best if few else 1 << 40))
 
 
 def block_search(index_rows: DataFrame, queries: DataFrame, index: Index, radius: int, best: int) -> DataFrame:
     """q, vec_id, score of the best pairs within the radius, block of queries by block of rows."""
     n_rows, n_queries = max(1, -(-index_rows.count() // ROWS)), max(1, -(-queries.count() // QUERIES))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.pmod(F.xxhash64("k"), F.lit(n_queries)).cast("int").alias("of"), every(n_rows).alias("block"), F.lit(0).alias("kind"), "k", "u", "c")
-    right = index_rows.select(every(n_queries).alias("of"), F.pmod(F.xxhash64("row"), F.lit(n_rows)).cast("int").alias("block"), F.lit(1).alias("kind"), "k", "u", "c")
+    one = {"cell": F.lit(0).cast("long"), "n_rows": F.lit(n_rows), "n_queries": F.lit(n_queries)}
+    return in_blocks(index_rows.withColumns(one), queries.withColumns(one), index, radius, best)
+
+
+def in_blocks(index_rows: DataFrame, queries: DataFrame, index: Index, radius: int, best: int) -> DataFrame:
+    """q, vec_id, score of the best pairs within the radius, of queries and rows that share a cell, dealt into n_queries by n_rows blocks a cell."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    left = queries.select("cell", F.pmod(F.xxhash64("k"), F.col("n_queries")).cast("int").alias("of"), every("n_rows").alias("block"), F.lit(0).alias("kind"), "k", "u", "c")
+    right = index_rows.select("cell", every("n_queries").alias("of"), F.pmod(F.xxhash64("row"), F.col("n_rows")).cast("int").alias("block"), F.lit(1).alias("kind"), "k", "u", "c")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held, found = None, [], None
         for frame in frames:
-            for place, group in frame.groupby(["of", "block"], sort=False):
+            for place, group in frame.groupby(["cell", "of", "block"], sort=False):
                 if place != now:
                     if found is not None:
                         yield found.result()
@@ -243,7 +283,7 @@ def block_search(index_rows: DataFrame, queries: DataFrame, index: Index, radius
         if found is not None:
             yield found.result()
 
-    dealt = left.unionByName(right).repartition("of", "block").sortWithinPartitions("of", "block", "kind")
+    dealt = left.unionByName(right).repartition("cell", "of", "block").sortWithinPartitions("cell", "of", "block", "kind")
     return dealt.mapInPandas(run, "q long, vec_id long, score double")
 
 
@@ -287,7 +327,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", emb
         each = found.groupBy("q", "query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("last"))
         return each.groupBy("q").agg(F.min("n").alias("n"), F.min("last").alias("last"), F.count(F.lit(1)).alias("queries")).join(members.groupBy("q").agg(F.count(F.lit(1)).alias("queries")), ["q", "queries"]).where((F.col("n") >= best) & (F.col("last") >= least)).select("q")
 
-    found = save(spark, ranked(substring_search(index_rows, queries, best), members, best), "near")
+    found = save(spark, ranked(substring_search(index_rows, queries, best, few=True), members, best), "near")
     done = save(spark, enough(found, index.sure), "done")
     out = found.join(done, "q", "left_semi")
     for radius in (index.radius, BITS):

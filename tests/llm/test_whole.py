@@ -60,6 +60,60 @@ def test_neighbours_of_rows_repeated_often(spark):
     got = neighbours.nearest(spark.createDataFrame(rows, schema).coalesce(1), F.col("vec_id") == 0).toPandas()
     assert set(got["query_id"]) == {0} and got["rank"].max() == 5 and 0 not in set(got["vec_id"])
 
+
+def most_joined(spark, run):
+    """What run() returns, and the rows of the join that made the most meanwhile."""
+    listed = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = {e.executionId() for e in listed(store.executionsList())}
+    out, made = run(), [0]
+    bus.waitUntilEmpty()
+    for k in {e.executionId() for e in listed(store.executionsList())} - before:
+        values, it = {}, store.executionMetrics(k).iterator()
+        while it.hasNext():
+            pair = it.next()
+            values[pair._1()] = pair._2()
+        for node in listed(store.planGraph(k).allNodes()):
+            if "Join" in node.name():
+                made += [int(values.get(m.accumulatorId(), "0").replace(",", "")) for m in listed(node.metrics()) if m.name() == "number of output rows"]
+    return out, max(made)
+
+
+def test_neighbours_join_rows_of_a_group_not_its_pairs(spark):
+    schema, rng, joined = "vec_id long, embedding array<double>", np.random.default_rng(8), {}
+    for size in (300, 900):
+        x = np.concatenate([rng.normal(size=32) + 0.001 * rng.normal(size=(size, 32)), rng.normal(size=(200, 32))])
+        u, n = x / np.linalg.norm(x, axis=1, keepdims=True), size
+        vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], schema)
+        got, joined[size] = most_joined(spark, lambda: neighbours.nearest(vectors, F.col("vec_id") % 5 == 0).toPandas().sort_values(["query_id", "rank"]))  # noqa: B023
+        s = u[:n] @ u.T
+        s[np.arange(n), np.arange(n)] = -2
+        want = {q: np.argsort(-s[q])[:5].tolist() for q in range(0, n, 5)}
+        found = {q: g["vec_id"].tolist() for q, g in got.groupby("query_id")}
+        assert all(found[q] == w for q, w in want.items()) and len(found) == (n + 200) // 5
+    assert joined[900] <= 4 * joined[300] and joined[900] < 900 * 180
+
+
+def test_cells_dealt_into_blocks_lose_no_pair(spark, monkeypatch):
+    for name, value in (("LIST", 20), ("ROWS", 7), ("QUERIES", 2)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(6, 32)), 50, axis=0) + rng.normal(size=(300, 32)) * rng.choice([0, 0.02, 0.1, 0.3], size=(300, 1))
+    index, units = neighbours.learn(x), neighbours.unit(x)
+    codes = index.codes(units)
+    rows = neighbours.encoded(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>"), index).withColumn("row", F.col("k")).cache()
+    close = {q: [r for r in range(300) if neighbours.hamming(codes[q], codes[r]) <= neighbours.first_radius()] for q in range(0, 300, 10)}
+    for few in (False, True):
+        got = neighbours.substring_search(rows, rows.where("k % 10 = 0"), 5, few).toPandas()
+        assert not got.duplicated(["q", "vec_id"]).any()
+        for q, g in got.groupby("q"):
+            kept = set(g["vec_id"])
+            best = sorted(close[q], key=lambda r: -round(units[q] @ units[r], 12))[:5]
+            assert set(best) <= kept <= set(close[q]) and (few or len(kept) == len(close[q]))
+        assert got["q"].nunique() == 30
+        assert few == (len(got) < sum(map(len, close.values())))
+
 # ---- 1
 
 
