@@ -14,10 +14,12 @@ names may clash with anything.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -36,6 +38,9 @@ THRESHOLD = 0.3
 SEED = 7
 LONG = 64  # bytes; longer words are added up in pieces and not kept
 PIECE = 1 << 16  # n-grams of a long word that are added up together
+RUN = 1 << 12  # words of a training text that are added up together
+KEPT_MB = 32  # of training texts' counts that are kept from one epoch to the next; the others' are made anew
+WORD = re.compile(rb"\S+")  # what split() gives, one at a time
 
 
 def buckets(word: bytes, size: int = BUCKETS) -> list[int]:
@@ -55,17 +60,73 @@ def crc_table() -> np.ndarray:
 CRC = crc_table()
 
 
+def crcs(marked: np.ndarray, n: int) -> np.ndarray:
+    """crc32 of each n-gram of some bytes."""
+    crc = np.full(max(0, len(marked) - n + 1), 0xFFFFFFFF, dtype=np.uint32)
+    for k in range(n):
+        crc = CRC[(crc ^ marked[k : k + len(crc)]) & 255] ^ (crc >> 8)
+    return crc ^ np.uint32(0xFFFFFFFF)
+
+
 def pieces(word: bytes, size: int = BUCKETS) -> Iterator[np.ndarray]:
     """buckets() of a long word, in parts of bounded size."""
     yield np.array([zlib.crc32(word) % size])
     marked = np.frombuffer(b"<" + word + b">", dtype=np.uint8)
     for n in (3, 4):
         for at in range(0, len(marked) - n + 1, PIECE):
-            part = marked[at : at + PIECE + n - 1]
-            crc = np.full(len(part) - n + 1, 0xFFFFFFFF, dtype=np.uint32)
-            for k in range(n):
-                crc = CRC[(crc ^ part[k : k + len(crc)]) & 255] ^ (crc >> 8)
-            yield ((crc ^ np.uint32(0xFFFFFFFF)) % size).astype(np.int64)
+            yield (crcs(marked[at : at + PIECE + n - 1], n) % size).astype(np.int64)
+
+
+def buckets_of(words: list[bytes], size: int = BUCKETS) -> np.ndarray:
+    """buckets() of words one after another; a word of n bytes has 2 n."""
+    marked = np.frombuffer(b"<" + b"><".join(words) + b">", dtype=np.uint8)
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    before = np.cumsum(n) - n
+    each = np.repeat(np.arange(len(words)), n)
+    at = np.arange(len(each)) - before[each]  # of an n-gram in its word
+    start = before[each] + 2 * each + at  # in marked
+    put = 2 * before[each] + 1 + at
+    four = at < n[each] - 1
+    out = np.empty(2 * len(each), np.int64)
+    out[2 * before] = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+    out[put] = crcs(marked, 3)[start]
+    out[(put + n[each])[four]] = crcs(marked, 4)[start[four]]
+    return out % size
+
+
+def counted(text: str | None, zeros: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's buckets, as they first occur, and how often each does, in as few bytes as hold them.
+
+    zeros: one for each bucket; they are zeros again afterwards.
+    """
+    size, order = len(zeros), [np.zeros(0, np.int64)]
+
+    def add(found: np.ndarray, times: np.ndarray) -> None:
+        some, first = np.unique(found, return_index=True)
+        order.append(found[np.sort(first[zeros[some] == 0])])
+        np.add.at(zeros, found, times)
+
+    def add_words(words: dict[bytes, int]) -> None:
+        if words:
+            add(buckets_of(list(words), size), np.repeat(np.fromiter(words.values(), np.int64), [2 * len(w) for w in words]))
+
+    words = (m[0] for m in WORD.finditer((text or "").encode()))
+    while run := Counter(islice(words, RUN)):
+        short: dict[bytes, int] = {}
+        for w, c in run.items():
+            if len(w) <= LONG:
+                short[w] = c
+                continue
+            add_words(short)
+            short = {}
+            for piece in pieces(w, size):
+                some, times = np.unique(piece, return_counts=True)
+                add(some, c * times)
+        add_words(short)
+    ids = np.concatenate(order)
+    counts = zeros[ids]
+    zeros[ids] = 0
+    return ids.astype(np.min_scalar_type(size - 1)), counts.astype(np.min_scalar_type(counts.max(initial=0)))
 
 
 @dataclass
@@ -82,27 +143,16 @@ class Model:
 def train(texts: list[str | None], labels: list[int], *, size: int = BUCKETS, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
     rng = np.random.default_rng(seed)
     model = Model(rng.uniform(-1 / DIM, 1 / DIM, (size, DIM)), np.zeros((DIM, 2)), np.zeros(2))
-    known: dict[bytes, list[int]] = {}
-    rows = []
-    for text in texts:
-        counts: Counter = Counter()
-        for w, c in Counter((text or "").encode().split()).items():
-            if len(w) > LONG:
-                for piece in pieces(w, size):
-                    for b, times in zip(*(x.tolist() for x in np.unique(piece, return_counts=True))):
-                        counts[b] += c * times
-                continue
-            if w not in known:
-                known[w] = buckets(w, size)
-            for b in known[w]:
-                counts[b] += c
-        ids = np.fromiter(counts.keys(), np.int64, len(counts))
-        share = np.fromiter(counts.values(), np.float64, len(counts))
-        rows.append((ids, share / max(1.0, share.sum())))
-    steps, at = epochs * len(rows), 0
+    zeros, room = np.zeros(size, np.int64), int(KEPT_MB * (1 << 20))
+    kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    steps, at = epochs * len(texts), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            ids, share = rows[i]
+        for i in rng.permutation(len(texts)).tolist():
+            ids, counts = found = kept.get(i) or counted(texts[i], zeros)
+            if i not in kept and (need := ids.nbytes + counts.nbytes + 256) <= room:
+                kept[i], room = found, room - need
+            share = counts.astype(np.float64)
+            share /= max(1.0, share.sum())
             lr = rate * (1 - at / steps)
             at += 1
             hidden = share @ model.vectors[ids]

@@ -1,9 +1,11 @@
 """Cases in which an operator once did less than the whole job."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import brute  # noqa: E402
@@ -129,6 +131,63 @@ def test_pii_adds_addresses_and_passwords_without_a_digit(spark):
 # ---- 10
 
 
+def plain_train(texts, labels, size):
+    """quality.train with every text's counts in plain dicts, all held at once."""
+    rng = np.random.default_rng(quality.SEED)
+    vectors, weights, bias = rng.uniform(-1 / quality.DIM, 1 / quality.DIM, (size, quality.DIM)), np.zeros((quality.DIM, 2)), np.zeros(2)
+    rows = []
+    for text in texts:
+        counts = Counter()
+        for w, c in Counter((text or "").encode().split()).items():
+            found = quality.buckets(w, size)
+            for b in found if len(w) <= quality.LONG else found[:1] + sorted(found[1 : 1 + len(w)]) + sorted(found[1 + len(w) :]):
+                counts[b] += c
+        share = np.array(list(counts.values()), dtype=np.float64)
+        rows.append((np.array(list(counts), dtype=np.int64), share / max(1.0, share.sum())))
+    at = 0
+    for _ in range(quality.EPOCHS):
+        for i in rng.permutation(len(rows)):
+            ids, share = rows[i]
+            lr = quality.RATE * (1 - at / (quality.EPOCHS * len(rows)))
+            at += 1
+            hidden = share @ vectors[ids]
+            z = hidden @ weights + bias
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            p[labels[i]] -= 1
+            back = weights @ p
+            weights -= lr * np.outer(hidden, p)
+            bias -= lr * p
+            vectors[ids] -= lr * len(ids) ** 0.5 * share[:, None] * back
+    return vectors, weights, bias
+
+
+@pytest.mark.parametrize("kept_mb", [quality.KEPT_MB, 0.01, 0])
+@pytest.mark.parametrize("run", [quality.RUN, 3])
+def test_quality_learns_the_same_whatever_is_kept(monkeypatch, kept_mb, run):
+    monkeypatch.setattr(quality, "KEPT_MB", kept_mb)
+    monkeypatch.setattr(quality, "RUN", run)
+    rng = random.Random(3)
+    texts = [None, "", " \t\x0b\x0c\r\n", "a", "a\x1cb c\x85d é 漢字 \x00", "x" * 64 + " " + "x" * 65 + " y " + "xy" * 200 + " y"]
+    texts += [" ".join("".join(rng.choices("abcé漢", k=rng.choice([1, 2, 3, 9, 70]))) for _ in range(rng.randrange(40))) for _ in range(40)]
+    labels = [rng.randrange(2) for _ in texts]
+    for size in (256, quality.BUCKETS):
+        model = quality.train(texts, labels, size=size)
+        for got, want in zip((model.vectors, model.weights, model.bias), plain_train(texts, labels, size)):
+            assert np.abs(got - want).max() < 1e-9
+
+
+def test_quality_trains_in_bounded_memory():
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(800)) for _ in range(100)]
+    tracemalloc.start()
+    try:
+        quality.train(texts, [i % 2 for i in range(100)], epochs=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 24 << 20  # 85 MB when the buckets of each word were kept in a list
+
+
 def test_quality_reads_long_words_to_their_end():
     rng = random.Random(10)
     word = "".join(rng.choice("abcé漢") for _ in range(90_000)).encode()
