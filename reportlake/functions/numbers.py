@@ -1,7 +1,6 @@
 """Numbers as reports write them: local separators, spaces, and words for scale.
 
-Steps are columns of their own where a DataFrame is at hand, so that each is
-computed once; `locale_number` and `scaled_number` are the same as expressions.
+What a step gives is bound to a name (`let`), so that each is computed once.
 """
 
 from __future__ import annotations
@@ -9,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.functions.text import strip
+from reportlake.functions.text import contains_any, let, strip, swap
 
 GROUPED = r"^\d{1,3}([.,]\d{3})+$"
 WHOLE = r"^\d+$"
@@ -20,23 +19,24 @@ SCALE_WORDS = "million|billion|thousand|k"
 
 def tidy(x: Column) -> Column:
     """Plain spaces for fixed-width ones, no space around, no stops behind."""
-    return F.regexp_replace(F.translate(strip(x), "\u00a0\u2007\u202f", "   "), r"\.+$", "")
+    return F.rtrim(swap(strip(x), "\u00a0\u2007\u202f", " "), F.lit("."))
 
 
 def decide(s: Column) -> Column:
     """The value of a tidy number: groups of three are thousands, a lone mark is decimal, else marks are dropped."""
-    t = F.replace(s, F.lit(" "), F.lit(""))
-    c = F.regexp_replace(s, "[ ,.]", "")
-    return (
-        F.when(t.rlike(GROUPED), F.regexp_replace(t, "[.,]", "").try_cast("double"))
-        .when(t.rlike(WHOLE), t.try_cast("double"))
-        .when(t.rlike(ONE_MARK), F.replace(t, F.lit(","), F.lit(".")).try_cast("double"))
-        .when(c.rlike(FLOAT), F.replace(c, F.lit("_"), F.lit("")).try_cast("double"))
-    )
+    def of(t: Column) -> Column:
+        return (
+            F.when(t.rlike(GROUPED), swap(t, ".,", "").try_cast("double"))
+            .when(t.rlike(WHOLE), t.try_cast("double"))
+            .when(t.rlike(ONE_MARK), swap(t, ",", ".").try_cast("double"))
+            .otherwise(let(swap(t, ".,", ""), lambda c: F.when(c.rlike(FLOAT), swap(c, "_", "").try_cast("double"))))
+        )
+
+    return let(swap(s, " ", ""), of)
 
 
 def locale_number(x: Column) -> Column:
-    return decide(tidy(x))
+    return let(tidy(x), decide)
 
 
 def scale(low: Column) -> Column:
@@ -44,15 +44,13 @@ def scale(low: Column) -> Column:
 
 
 def unscaled(low: Column) -> Column:
-    return F.regexp_replace(low, SCALE_WORDS, "")
+    return F.when(contains_any(low, SCALE_WORDS.split("|")), F.regexp_replace(low, SCALE_WORDS, "")).otherwise(low)
 
 
 def scaled_number(x: Column) -> Column:
-    low = F.lower(strip(x))
-    return locale_number(unscaled(low)) * scale(low)
+    return let(F.lower(strip(x)), lambda low: locale_number(unscaled(low)) * scale(low))
 
 
 def with_numbers(df: DataFrame, raw: str, scaled: Column, out: str) -> DataFrame:
     """df with the number in `raw`; scale words count where `scaled` holds."""
-    df = df.withColumn("__low", F.lower(strip(F.col(raw)))).withColumn("__tidy", tidy(F.when(scaled, unscaled(F.col("__low"))).otherwise(F.col(raw))))
-    return df.withColumn(out, decide(F.col("__tidy")) * F.when(scaled, scale(F.col("__low"))).otherwise(1.0)).drop("__low", "__tidy")
+    return df.withColumn(out, F.when(scaled, scaled_number(F.col(raw))).otherwise(locale_number(F.col(raw))))

@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportlake.functions.scores import priority
+from reportlake.functions.scores import priority, quality_among, total
 from reportlake.functions.text import unfenced
-from reportlake.operators.normalise import candidates
-from reportlake.plans.catalogue import HIT, NOT_REPORTED, SOURCES, Kpi
+from reportlake.operators.normalise import candidates, valued
+from reportlake.plans.catalogue import NOT_REPORTED, SOURCES, Kpi
 
 CHOSEN = ("value", "unit", "confidence", "source", "score")
 
@@ -29,13 +29,45 @@ def best_by_window(cands: DataFrame) -> DataFrame:
     return cands.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("doc_id", "ord", "code", *CHOSEN)
 
 
-def absent(kpis: tuple[Kpi, ...]) -> Column:
-    """For every indicator a hit without a source, which loses to any other: completion without a join or a second scan."""
-    return F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(k.code).alias("code"), *[F.lit(None).cast("string").alias(c) for c in ("source", "raw_value", "raw_unit", "reported_unit")], F.lit(None).cast("double").alias("confidence")).cast(HIT) for i, k in enumerate(kpis)])
+BEST = "struct<rank:struct<score:double,priority:int>,value:double,unit:string,confidence:double,source:string>"
+
+
+def best_of(name: str, hits: Column, k: Kpi) -> Column:
+    """The best of an extractor's hits for an indicator, as BEST, from an array of hits that carry the extractor's name; null where there is none."""
+    source = F.lit(name)
+
+    def best(h: Column) -> Column:
+        def of(v: Column) -> Column:
+            rank = F.struct(F.coalesce(total(v["value"], quality_among(v["unit"], k.units), h["confidence"], source), F.lit(0.0)).alias("score"), priority(source).alias("priority"))
+            return F.struct(rank.alias("rank"), v["value"].alias("value"), v["unit"].alias("unit"), h["confidence"].alias("confidence"), source.alias("source")).cast(BEST)
+
+        return valued(name, h, (k,), of)
+
+    return F.array_max(F.transform(F.filter(hits, lambda h: h["code"] == k.code), best))
+
+
+def best_by_report(hits: DataFrame, kpis: tuple[Kpi, ...]) -> DataFrame:
+    """doc_id, ord, code, value, unit, confidence, source and score: a row for every report and indicator.
+
+    hits: doc_id and, by the name of each extractor, an array of its hits in
+    the report. The best hit is chosen within the report, so one narrow row of
+    each is sorted and shuffled, not all its hits; rows of one doc_id are then
+    compared alike. Where nothing was found, source is null: completion without
+    a join or a second scan.
+    """
+    if not kpis:
+        return hits.where("false").select("doc_id", F.inline(F.array().cast("array<struct<ord:int,code:string,value:double,unit:string,confidence:double,source:string,score:double>>")))
+    names = [c for c in hits.columns if c != "doc_id"]
+    none = F.lit(None).cast(BEST)
+    each = hits.select("doc_id", *[F.greatest(none, none, *[best_of(n, F.col(n), k) for n in names]).alias(f"b{i}") for i, k in enumerate(kpis)])
+    merged = each.groupBy("doc_id").agg(*[F.max(f"b{i}").alias(f"b{i}") for i, _ in enumerate(kpis)])
+    fields = ("value", "unit", "confidence", "source")
+    rows = [F.struct(F.lit(i).alias("ord"), F.lit(k.code).alias("code"), *[F.col(f"b{i}.{c}").alias(c) for c in fields], F.col(f"b{i}.rank.score").alias("score")) for i, k in enumerate(kpis)]
+    return merged.select("doc_id", F.inline(F.array(*rows)))
 
 
 def complete(chosen: DataFrame, docs: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Every report with every indicator; for cross-checks of absent."""
+    """Every report with every indicator; for cross-checks of best_by_report."""
     every = docs.select("doc_id").crossJoin(F.broadcast(dimension.select("ord", "code")))
     return every.join(chosen, ["doc_id", "ord", "code"], "left")
 

@@ -20,9 +20,12 @@ def source_usage(results: DataFrame) -> DataFrame:
 
 def confidence_histogram(results: DataFrame, bins: int = BINS) -> DataFrame:
     """Equal-width bins between the smallest and largest confidence; the last holds its upper end. Bins without rows are left out."""
-    ends = results.agg(F.min("confidence").alias("lo"), F.max("confidence").alias("hi"))
+    counts = results.groupBy("confidence").agg(F.count(F.lit(1)).alias("n"))
+    # n is read on both sides, so that they are one plan and the results are made once
+    pair = F.when(F.col("confidence").isNotNull(), F.struct("confidence", "n"))
+    ends = counts.agg(F.min(pair)["confidence"].alias("lo"), F.max(pair)["confidence"].alias("hi"))
     place = F.when(F.col("hi") == F.col("lo"), 1).otherwise(F.least(F.width_bucket("confidence", "lo", "hi", F.lit(bins)), F.lit(bins)))
-    return results.crossJoin(F.broadcast(ends)).groupBy(place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # one row of ends
+    return counts.crossJoin(F.broadcast(ends)).groupBy(place.cast("int").alias("bin")).agg(F.sum("n").alias("n"))  # one row of ends
 
 
 def summary(results: DataFrame) -> DataFrame:

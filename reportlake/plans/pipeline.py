@@ -2,7 +2,8 @@
 
 Reports are rows (doc_id, text, tables): the text with its line breaks, and the
 tables as arrays of rows of cells, the first a header. One scan gives all hits
-of a report; one shuffle, by report and indicator, picks the best.
+of a report and picks the best of them; one shuffle, by report, compares those
+of rows with the same id.
 """
 
 from __future__ import annotations
@@ -15,14 +16,13 @@ from pyspark.sql import functions as F
 
 from reportlake.functions.text import collapse
 from reportlake.operators import fuse, hits
-from reportlake.operators.normalise import candidates
 from reportlake.plans.catalogue import DEFAULT, Kpi
 from reportlake.sources.storage import stored
 
 
 @dataclass(frozen=True)
 class Extractor:
-    """A source of hits: an expression over text, flat text and tables. More can be registered beside these."""
+    """A source of hits, which carry its name: an expression over text, flat text and tables. More can be registered beside these."""
 
     name: str
     of: Callable[[tuple[Kpi, ...]], Column]
@@ -47,6 +47,11 @@ def raw_hits(reports: DataFrame, kpis: tuple[Kpi, ...] = DEFAULT, extractors: tu
     return hits.rows(prepared(reports), F.concat(*[e.of(kpis) for e in extractors]))
 
 
+def chosen(reports: DataFrame, kpis: tuple[Kpi, ...] = DEFAULT, extractors: tuple[Extractor, ...] = EXTRACTORS) -> DataFrame:
+    """The best hit of each report and indicator, with its score; without a source where there is none."""
+    return fuse.best_by_report(prepared(reports).select("doc_id", *[e.of(kpis).alias(e.name) for e in extractors]), kpis)
+
+
 def extract_kpis(reports: DataFrame, kpis: tuple[Kpi, ...] = DEFAULT, *, llm: fuse.Client | None = None, extractors: tuple[Extractor, ...] = EXTRACTORS) -> DataFrame:
     """One row for each report and indicator.
 
@@ -54,8 +59,7 @@ def extract_kpis(reports: DataFrame, kpis: tuple[Kpi, ...] = DEFAULT, *, llm: fu
     misses something, and for what it misses. Results and answers are stored
     then, so that no action extracts or asks again; the reports are read twice.
     """
-    found = hits.rows(prepared(reports), F.concat(*[e.of(kpis) for e in extractors], fuse.absent(kpis)))
-    results = fuse.shaped(fuse.best(candidates(found, kpis)))
+    results = fuse.shaped(chosen(reports, kpis, extractors))
     if llm is None:
         return results
     results = stored(results, "results")

@@ -9,12 +9,12 @@ from reportlake import oracle
 from reportlake.functions import units
 from reportlake.functions.numbers import with_numbers
 from reportlake.functions.scores import score
-from reportlake.functions.text import collapse, lines, plain_words, sentences, unit_token_wide
+from reportlake.functions.text import collapse, flat_sentences, lines, plain_words, unit_token_wide
 from reportlake.operators import fuse, hits
 from reportlake.operators.normalise import candidates
 from reportlake.plans import analytics
 from reportlake.plans.catalogue import DEFAULT, by_code, dimension, strings, unit_dimension
-from reportlake.plans.pipeline import extract_kpis, prepared, raw_hits
+from reportlake.plans.pipeline import EXTRACTORS, chosen, extract_kpis, prepared, raw_hits
 from reportlake.sources import results as sinks
 from reportlake.sources.storage import shared_path, stored
 from reportlake.sources.samples import SPARK, reports, scaled, written
@@ -48,6 +48,10 @@ def cands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(raw_hits(reports(spark, sf_dir)), DEFAULT)
 
 
+def best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen(reports(spark, sf_dir)).where("source IS NOT NULL")
+
+
 def final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_kpis(reports(spark, sf_dir))
 
@@ -127,7 +131,7 @@ named("regex_extract", pattern_query(None))
 
 @query
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = ready(spark, sf_dir).select("doc_id", sentences(F.col("flat")).alias("ss"))
+    split = ready(spark, sf_dir).select("doc_id", flat_sentences(F.col("flat")).alias("ss"))
     one = F.transform("ss", lambda s, i: F.struct(i.cast("long").alias("pos"), s.alias("sentence"), F.concat_ws(" ", s, F.get("ss", i + 1)).alias("window_text")))
     return split.select("doc_id", F.inline_outer(one)).where("pos IS NOT NULL")
 
@@ -169,7 +173,8 @@ def grid_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def norm_query(source: str):
-    return lambda spark, sf_dir: cands(spark, sf_dir).where(F.col("source") == source).select("doc_id", "code", "value", "unit")
+    only = tuple(e for e in EXTRACTORS if e.name == source)
+    return lambda spark, sf_dir: candidates(raw_hits(reports(spark, sf_dir), extractors=only), DEFAULT).select("doc_id", "code", "value", "unit")
 
 
 for _name in ("regex", "table_grid", "table_plain", "nlp"):
@@ -202,14 +207,13 @@ def candidates_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fuse_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(fuse.best(cands(spark, sf_dir)))
+    return best(spark, sf_dir).select("doc_id", "code", "source", "value", "unit", F.round("score", 6).alias("score"))
 
 
 @query
 def fuse_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completion in relational form: every report with every indicator, by a join."""
-    chosen = fuse.best_by_window(cands(spark, sf_dir))
-    return plain(fuse.shaped(fuse.complete(chosen, reports(spark, sf_dir), dimension(spark)))).select("doc_id", "code", "value", "unit", "confidence", "source")
+    return plain(fuse.shaped(fuse.complete(best(spark, sf_dir), reports(spark, sf_dir), dimension(spark)))).select("doc_id", "code", "value", "unit", "confidence", "source")
 
 
 @query

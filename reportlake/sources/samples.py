@@ -32,10 +32,14 @@ def joined(*parts: str) -> str:
     return "concat(" + ", ".join(parts) + ")"
 
 
-def columns(d: Dialect) -> dict[str, str]:
-    """SQL of doc_id, text and tables over orders."""
+def figures(d: Dialect) -> dict[str, str]:
+    """SQL of the three figures of a report over orders."""
     n = "CAST(floor(o_totalprice) AS BIGINT)"
-    g, e, w = d.fmt(n), d.fmt(f"({n} * 3 + 7)"), d.fmt(f"({n} * 11 + 13)")
+    return {"g": d.fmt(n), "e": d.fmt(f"({n} * 3 + 7)"), "w": d.fmt(f"({n} * 11 + 13)")}
+
+
+def columns(d: Dialect, g: str, e: str, w: str) -> dict[str, str]:
+    """SQL of doc_id, text and tables over orders, from its three figures."""
     dots, blanks = f"replace({g}, ',', '.')", f"replace({g}, ',', ' ')"
     nl = "chr(10)"
     texts = [
@@ -71,15 +75,20 @@ def columns(d: Dialect) -> dict[str, str]:
     }
 
 
+DEAL = 1 << 17  # bytes of the narrow rows, as Spark estimates them from the file, that a task makes reports from
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
-    # a few megabytes become many texts: the narrow rows are dealt to all cores before they grow
-    orders = orders.repartition(spark.sparkContext.defaultParallelism)
-    return orders.selectExpr(*[f"{sql} AS {name}" for name, sql in columns(SPARK).items()])
+    # a few megabytes become many texts: the narrow rows are dealt to all cores before they grow, in tasks that do not grow with the table
+    size = int(str(orders._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    orders = orders.repartition(max(spark.sparkContext.defaultParallelism, -(-size // DEAL)), "o_orderkey")
+    orders = orders.selectExpr("o_orderkey", *[f"{sql} AS {name}" for name, sql in figures(SPARK).items()])
+    return orders.selectExpr(*[f"{sql} AS {name}" for name, sql in columns(SPARK, "g", "e", "w").items()])
 
 
 def reports_sql() -> str:
-    return "SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in columns(DUCK).items()) + " FROM orders"
+    return "SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in columns(DUCK, **figures(DUCK)).items()) + " FROM orders"
 
 
 #: A number as nine kinds of reports write it, and with words for scale.

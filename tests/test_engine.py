@@ -363,3 +363,55 @@ def test_queries_equal_their_sql(spark):
         columns = sorted(mine.columns)
         key = lambda df: sorted(map(repr, df[columns].astype(object).where(df[columns].notna(), None).itertuples(index=False, name=None)))  # noqa: B023, E731
         assert key(mine.toPandas()) == key(con.sql(ORACLES[name]).df()), name
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_row_a_report_is_shuffled(samples):
+    plan = plan_of(extract_kpis(samples))
+    assert plan.index("Generate") < plan.index("Exchange hashpartitioning")  # hits are not rows before the shuffle
+    repeated = extract_kpis(samples.unionByName(samples)).where("doc_id = 'dairy'")
+    assert sorted(r.value for r in repeated.collect()) == [990.0, 5310.0, 64200.0]
+
+
+def test_results_of_the_histogram_are_made_once(samples):
+    flat = extract_kpis(samples).withColumn("source", F.concat_ws(",", "source"))
+    found = analytics.confidence_histogram(flat)
+    found.collect()
+    assert "ReusedExchange" in plan_of(found)
+
+
+def test_one_source_runs_one_extractor(spark):
+    from reportlake.queries import QUERIES
+
+    plan = plan_of(QUERIES["norm_regex"](spark, "/root/testdata/sf0.001"))
+    assert "table_plain" not in plan.split("Generate")[1] and "table_grid" not in plan.split("Generate")[1]
+
+
+def test_tasks_of_reports_do_not_grow_with_the_table(spark, tmp_path):
+    from reportlake.sources.samples import DEAL, reports
+
+    spark.range(400_000).selectExpr("id AS o_orderkey", "CAST(hash(id) AS DOUBLE) AS o_totalprice").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    made = reports(spark, str(tmp_path))
+    size = sum(f.stat().st_size for f in (tmp_path / "orders.parquet").glob("*.parquet"))
+    assert size > 8 * DEAL and made.rdd.getNumPartitions() >= size // DEAL
+
+
+def test_any_case_is_that_of_the_sql(spark):
+    of = lambda kpis: hits.pattern_hits(F.col("flat"), kpis)
+    assert by(spark, "5 cubıc meters, m3", of) == {}  # a dotless i is no i
+    assert by(spark, "7 CUBIC METERſ", of)["water_withdrawal"][:2] == ("7", "CUBIC METERſ")
+    assert by(spark, "7 KWH", of)["energy_consumption"][:2] == ("7", "KWH")
+
+
+def test_strip_and_lines_of_every_character(spark):
+    from reportlake.functions.text import collapse, strip
+
+    chars = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000]
+    df = spark.createDataFrame([(c,) for c in chars], "c string").repartition(4)
+    x = F.concat("c", F.lit("a"), "c", "c", F.lit("b"), "c")
+    for r in df.select("c", strip(x).alias("s"), collapse(x).alias("f"), lines(x).alias("l")).collect():
+        text = f"{r.c}a{r.c}{r.c}b{r.c}"
+        assert r.s == text.strip() and r.f == (" ".join(text.split()) if r.c.isspace() else text) and r.l == [s.strip() for s in text.splitlines() if s.strip()], hex(ord(r.c))
